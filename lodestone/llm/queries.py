@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, personal_data, toxicity
+from . import line_quality, personal_data, simhash, toxicity
 from .shared import documents
 
 
@@ -18,6 +18,11 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.clean_lines(documents(spark, sf_dir), with_text=False)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_spans(documents(spark, sf_dir))
 
@@ -30,7 +35,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op3_personal_data, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_simhash, op3_personal_data, op8_toxicity)}
 
 #: DuckDB SQL by query, where SQL can express it on whole tables.
 ORACLES: dict[str, str] = {}

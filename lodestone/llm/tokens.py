@@ -10,6 +10,8 @@ the tokenizers library encodes the others.
 from __future__ import annotations
 
 import os
+import re
+from collections import ChainMap
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +24,11 @@ END = 0
 MEMORY = 600_000
 _tokenizers: dict[str, object] = {}
 _memory: dict[str, dict[str, bytes]] = {}
+_words: dict[str, dict[str, bytes]] = {}
+_lengths: dict[str, np.ndarray] = {}
+RUN = re.compile(r"\s\s")
+#: A space, Latin letters, and punctuation: two units of the tokenizer's pattern.
+WORD = re.compile("( [A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,10 +49,13 @@ def tokenizer(path: str):
 
 
 def cuts(text: str) -> list[str]:
-    """Parts of a text whose ids can be joined; together they are the text."""
+    """Parts of a text whose ids can be joined; together they are the text.
+
+    Every part but the first starts with its single space.
+    """
+    if "\0" not in text and not RUN.search(text) and text[:1] != " " and text[-1:] != " ":
+        return text.replace(" ", "\0 ").split("\0")
     parts = text.split(" ")
-    if len(parts) == 1:
-        return [text]
     out, rest = [], parts[0]
     for p in parts[1:]:
         # a run of white space stays in one part
@@ -58,29 +68,73 @@ def cuts(text: str) -> list[str]:
     return out
 
 
+def byte_lengths(path: str) -> np.ndarray:
+    """Bytes of text that each id stands for (one character of a vocabulary entry is one byte)."""
+    if path not in _lengths:
+        t = tokenizer(path)
+        vocabulary = t.get_vocab(with_added_tokens=True)
+        own = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        own[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        _lengths[path] = own
+    return _lengths[path]
+
+
+def encode_words(words: list[str], path: str) -> dict[str, bytes]:
+    """Ids of parts of one space and letters: joined to long texts, encoded, and told apart by their lengths."""
+    t, lengths, out = tokenizer(path), byte_lengths(path), {}
+    groups = [words[at : at + 2000] for at in range(0, len(words), 2000)]
+    for group, e in zip(groups, t.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, np.uint16)
+        upto = np.cumsum([len(c.encode()) for c in group])
+        at = np.searchsorted(np.cumsum(lengths[ids]), upto, side="right")
+        data, begin = ids.tobytes(), 0
+        for c, end in zip(group, (2 * at).tolist()):
+            out[c] = data[begin:end]
+            begin = end
+    return out
+
+
+def encode_new(parts: list[str], path: str) -> dict[str, bytes]:
+    """Ids of parts not seen before.
+
+    The tokenizer splits letters from the punctuation behind them, so those are
+    looked up apart; anything else is encoded as it stands.
+    """
+    words = _words.setdefault(path, {})
+    matches = [WORD.fullmatch(c) for c in parts]
+    new = list({m[1] for m in matches if m and m[1] not in words})
+    fresh = encode_words(new, path)
+    alone = list({c for c, m in zip(parts, matches) if not m} | {m[2] for m in matches if m and m[2] not in words})
+    for c, e in zip(alone, tokenizer(path).encode_batch_fast(alone, add_special_tokens=False)):
+        fresh[c] = np.array(e.ids, np.uint16).tobytes()
+    known = ChainMap(fresh, words)
+    out = {c: known[m[1]] + known[m[2]] if m else fresh[c] for c, m in zip(parts, matches)}
+    for c, ids in fresh.items():
+        if len(words) >= MEMORY:
+            break
+        if len(c) <= 32:
+            words[c] = ids
+    return out
+
+
 def encode(all_texts: list[str], path: str) -> list[np.ndarray]:
     """Ids (uint16) of each text, without an end id."""
     known = _memory.setdefault(path, {})
     split = [cuts(x) for x in all_texts]
-    new = list({c for s in split for c in s if c not in known})
-    fresh: dict[str, bytes] = {}
-    t = tokenizer(path)
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for c, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
-            fresh[c] = np.array(e.ids, np.uint16).tobytes()
+    got = [list(map(known.get, s)) for s in split]
+    new = list({c for s, g in zip(split, got) if None in g for c, x in zip(s, g) if x is None})
+    fresh = encode_new(new, path) if new else {}
     out = []
-    for s in split:
-        if fresh:
-            got = b"".join([known[c] if c in known else fresh[c] for c in s])
-        else:
-            got = b"".join(map(known.__getitem__, s))
-        out.append(np.frombuffer(got, np.uint16))
-    for c, ids in fresh.items():
-        if len(known) >= MEMORY:
-            break
-        if len(c) <= 32:
-            known[c] = ids
+    for s, g in zip(split, got):
+        if None in g:
+            g = [fresh[c] if x is None else x for c, x in zip(s, g)]
+        out.append(np.frombuffer(b"".join(g), np.uint16))
+    room = MEMORY - len(known)
+    if room > 0:
+        for c, ids in fresh.items():
+            if len(c) <= 32 and room > 0:
+                known[c] = ids
+                room -= 1
     return out
 
 

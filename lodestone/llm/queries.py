@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, packing, personal_data, simhash, token_files, toxicity
+from . import line_quality, minhash, packing, personal_data, simhash, token_files, toxicity
 from .shared import documents
 
 
@@ -27,6 +27,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_spans(documents(spark, sf_dir))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_simhash, op3_personal_data, op7_token_files, op8_toxicity, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_simhash, op3_personal_data, op5_minhash, op7_token_files, op8_toxicity, op9_packing)}
 
 #: DuckDB SQL by query, where SQL can express it on whole tables.
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, minhash, packing, personal_data, simhash, token_files, toxicity
+from . import language_model, line_quality, minhash, packing, personal_data, simhash, token_files, toxicity
 from .shared import documents
 
 
@@ -47,7 +47,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_simhash, op3_personal_data, op5_minhash, op7_token_files, op8_toxicity, op9_packing)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id") == 1, F.lit(False))
+    scored = language_model.score(documents(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_simhash, op3_personal_data, op5_minhash, op7_token_files, op8_toxicity, op9_packing, op10_language_model)}
 
 #: DuckDB SQL by query, where SQL can express it on whole tables.
 ORACLES: dict[str, str] = {}

@@ -21,20 +21,18 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import BITS_EACH, Filter, U, bloom_add, collected, members_of, merged, mix, packed, segment_size, shard_of, unpacked, word_hash
 from .shared import dropped, texts, written
 
 LOWER = bytes(range(256)).lower()
 #: The end of a document; no word holds a space.
 END_WORD = b" end"
-HASHES = 4
-BITS_EACH = 10
 #: Bits of the two filters at most: 64 and 16 MB.
 MOST_BITS, MOST_MASS_BITS = 1 << 29, 1 << 27
 #: Words whose exact counts are broadcast at most: 16 MB.
@@ -44,7 +42,6 @@ DISCOUNT = 0.75
 FLUSH = 4_000_000
 #: Characters of text for each shard, about.
 SHARD_CHARS = 3_000_000
-U = np.uint64
 
 
 def thresholds(least: int) -> np.ndarray:
@@ -59,13 +56,6 @@ def middle(least: int) -> np.ndarray:
     return np.concatenate([[0.0], np.sqrt(t * np.append(t[1:] - 1, t[-1]))])
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
-
-
 def pairs_of(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, spread): 32 bits of the first word and 32 of the pair; spread deals pairs to shards."""
     with np.errstate(over="ignore"):
@@ -73,17 +63,6 @@ def pairs_of(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (first << U(32)) | (x & U(0xFFFFFFFF)), x
 
 
-def shard_of(spread: np.ndarray, bits: int) -> np.ndarray:
-    return (spread >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(spread), np.int64)
-
-
-@lru_cache(maxsize=1 << 19)
-def word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word)
-
-
 def hashed(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts: hashes of their distinct words, the tokens as indexes into them, and the tokens of each text (its end is index 0)."""
     index: dict[bytes, int] = {END_WORD: 0}
@@ -105,28 +84,6 @@ def first_words(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before
 
 
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts, at)
-
-
-def packed(a: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
-
-
-def unpacked(data: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 def gathered(train: DataFrame, bits: int) -> DataFrame:
     """(shard, words, word_counts, pairs, pair_counts): packed counts of what a task read, some tokens at a time."""
 
@@ -194,60 +151,6 @@ def merge_shard(table):
     return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in SHARD.split(", ")])
 
 
-def bloom_add(bits: np.ndarray, size: int, members: np.ndarray) -> None:
-    """Set the bits of members (64-bit hashes) in one segment of size bits."""
-    step = mix(members ^ U(0xA5A5A5A5A5A5A5A5)) | U(1)
-    with np.errstate(over="ignore"):
-        for i in range(HASHES):
-            at = ((members + U(i) * step) >> U(8)) % U(size)
-            np.bitwise_or.at(bits, (at >> U(3)).astype(np.int64), (U(1) << (at & U(7))).astype(np.uint8))
-
-
-def members_of(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Members (gram, 1..level) of all grams."""
-    total = np.repeat(grams, levels)
-    first = np.repeat(np.cumsum(levels) - levels, levels)
-    return member(total, (np.arange(len(total)) - first + 1).astype(np.uint64))
-
-
-def member(grams: np.ndarray, level) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(grams + U(level) * U(0xD1342543DE82EF95) if np.isscalar(level) else grams + level * U(0xD1342543DE82EF95))
-
-
-@dataclass(frozen=True)
-class Filter:
-    """A Bloom filter in 2^shard_bits segments of size bits each."""
-
-    bits: np.ndarray
-    shard_bits: int
-    size: int
-
-    def levels(self, grams: np.ndarray, shards: np.ndarray, most: int = 90) -> np.ndarray:
-        """Level of each gram, by probing its members one after the other."""
-        out = np.zeros(len(grams), np.int64)
-        live = np.arange(len(grams))
-        for level in range(1, most):
-            g = member(grams[live], level)
-            step = mix(g ^ U(0xA5A5A5A5A5A5A5A5)) | U(1)
-            base = shards[live] * (self.size // 8)
-            for i in range(HASHES):
-                with np.errstate(over="ignore"):
-                    at = ((g + U(i) * step) >> U(8)) % U(self.size)
-                hit = np.flatnonzero((self.bits[base + (at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1)
-                live, g, step, base = live[hit], g[hit], step[hit], base[hit]
-                if not len(live):
-                    return out
-            out[live] = level
-        return out
-
-
-def segment_size(members: int, bits: int, most: int) -> int:
-    """Bits of a segment: BITS_EACH for each member, within the largest size; whole bytes."""
-    whole = min(most, max(64, BITS_EACH * members))
-    return max(64, -(-whole // (1 << bits)) // 64 * 64 + 64)
-
-
 @dataclass(frozen=True)
 class Model:
     """What is broadcast for scoring; its size is bounded by MOST_BITS, MOST_MASS_BITS and MOST_EXACT."""
@@ -334,13 +237,6 @@ def fit(docs: DataFrame, train: Column | None = None) -> tuple[Model, DataFrame]
         bloom_add(own, mass_size, members_of(mix(firsts), table.column("level").to_numpy()))
         return pa.Table.from_arrays([pa.array([table.column("shard")[0].as_py()], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["shard", "bits"])
 
-    def collected(table: DataFrame, size: int, bits: int) -> tuple[Filter, list]:
-        got = table.collect()
-        whole = np.zeros((size // 8) << bits, np.uint8)
-        for r in got:
-            whole[r["shard"] * (size // 8) : (r["shard"] + 1) * (size // 8)] = np.frombuffer(r["bits"], np.uint8)
-        return Filter(whole, bits, size), got
-
     counts, got = collected(shards.select("shard", "words", "word_counts", "pairs", "pair_counts").mapInArrow(segment, "shard long, bits binary, words binary, counts binary, total double"), size, bits)
     words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in got] or [np.zeros(0, np.uint64)])
     exact = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in got] or [np.zeros(0, np.int64)])

@@ -25,6 +25,10 @@ from .shared import dropped, texts, written
 
 BITS = 64
 RADIUS = 3
+#: Fingerprints that may reach one variant before they take the full balls.  A
+#: full ball has 561 rows on average, so up to about as many pairs for each
+#: fingerprint cost less than its ball.  It changes the cost, never the result.
+CROWD = 512
 LOWER = bytes(range(256)).lower()  # lower-cases A-Z in bytes and nothing else
 
 
@@ -82,15 +86,17 @@ def half_balls(batches):
 
 
 def full_balls(batches):
-    """Per fingerprint: all points within 1 of it (near) and, for odd parity, at 2 of it.
+    """Per fingerprint: all points within 1 of it (near) and, for odd parity, those at 2 of it in one half.
 
     At distance 1 or 3 the parities differ, so the odd one's wide ball meets the
-    even one's near ball; at distance 2 two near balls meet.
+    even one's near ball; at distance 2 two near balls meet.  Of three differing
+    bits two lie in the same half, so wide balls need no bits of different halves.
     """
     import pyarrow as pa
 
     one = 1 << np.arange(BITS, dtype=np.uint64)
     i, j = np.triu_indices(BITS, 1)
+    i, j = i[i // 32 == j // 32], j[i // 32 == j // 32]
     close = np.concatenate([[np.uint64(0)], one]).astype(np.uint64)
     wide = (one[i] | one[j]).astype(np.uint64)
     for batch in batches:
@@ -105,11 +111,10 @@ def full_balls(batches):
                 )
 
 
-def fingerprint_links(distinct: DataFrame, crowd: int = 32) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b): links within distance 3 whose components are those of all links.
 
-    distinct: one column fp.  crowd: fingerprints that may reach one variant
-    before they take the full balls; it changes the cost, never the result.
+    distinct: one column fp.  crowd: see CROWD.
     """
     points = distinct.mapInArrow(half_balls, "point long, fp long, centre boolean")
     # a variant matters only where it is some fingerprint's own half
@@ -155,7 +160,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, crowd: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id that links reach.
 
     Null and empty texts have fingerprint zero and link like any other.
@@ -172,7 +177,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, crowd: int = 32) -> DataFram
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, size: int = 3, crowd: int = 32) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, size: int = 3, crowd: int = CROWD) -> DataFrame:
     """The rows of docs whose document stands first in its component, one for each.
 
     Of rows that repeat a doc_id one with the least text stays; rows with a null

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, line_quality, minhash, packing, personal_data, simhash, substring_dedup, token_files, toxicity
+from . import language_model, line_quality, minhash, mixing, packing, personal_data, simhash, substring_dedup, token_files, toxicity
 from .shared import documents
 
 
@@ -35,6 +35,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(documents(spark, sf_dir))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mixing.mix_to_targets(docs, mixing.language_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir))
 
@@ -57,7 +62,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_simhash, op3_personal_data, op4_substring_dedup, op5_minhash, op7_token_files, op8_toxicity, op9_packing, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_simhash, op3_personal_data, op4_substring_dedup, op5_minhash, op6_mixing, op7_token_files, op8_toxicity, op9_packing, op10_language_model)}
 
 #: DuckDB SQL by query, where SQL can express it on whole tables.
 ORACLES: dict[str, str] = {}

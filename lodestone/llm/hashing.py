@@ -24,11 +24,36 @@ def shard_of(spread: np.ndarray, bits: int) -> np.ndarray:
     return (spread >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(spread), np.int64)
 
 
-@lru_cache(maxsize=1 << 19)
-def word_hash(word: bytes) -> int:
-    import xxhash
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = U(0x9E6C63D0876A9A47)
+_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 
-    return xxhash.xxh64_intdigest(word)
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[U(1)], np.full(n, _BASE)])), np.cumprod(np.concatenate([[U(1)], np.full(n, _INVERSE)]))
+
+
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in order, number of words of each text).
+
+    A word's hash is a polynomial in its bytes modulo 2^64, mixed; prefix sums
+    over the joined texts give all words at once, with no object for a word.
+    """
+    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[joined]
+    before = np.concatenate([[True], space[:-1]])
+    starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+    size = max(1 << 20, 1 << int(len(joined)).bit_length())
+    up, down = powers(size)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[U(0)], np.cumsum((joined.astype(np.uint64) + U(1)) * up[: len(joined)])])
+        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    edges = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], edges])))
+    return hashes, counts
 
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

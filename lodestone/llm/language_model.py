@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import BITS_EACH, Filter, U, bloom_add, collected, members_of, merged, mix, packed, segment_size, shard_of, unpacked, word_hash
+from .hashing import BITS_EACH, Filter, U, bloom_add, collected, members_of, merged, mix, packed, segment_size, shard_of, unpacked
 from .shared import dropped, texts, written
 
 LOWER = bytes(range(256)).lower()
@@ -73,7 +73,9 @@ def hashed(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tokens.extend([put(w, len(index)) for w in words])
         tokens.append(0)
         sizes.append(len(words) + 1)
-    return np.fromiter(map(word_hash, index), np.uint64, len(index)), np.array(tokens, np.int64), np.array(sizes, np.int64)
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)), np.array(tokens, np.int64), np.array(sizes, np.int64)
 
 
 def first_words(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import word_hash
+from .hashing import U, hash_words
 from .shared import dropped, texts, written
 
 LOWER = bytes(range(256)).lower()
@@ -27,12 +27,9 @@ FEATURES = 1 << 14
 MOST_EVIDENCE = 20.0
 
 
-def counted(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """(feature, count) of the words of a text, hashed to FEATURES, and the number of words."""
-    words = text.translate(LOWER).split()
-    own = Counter(words)
-    at = np.fromiter((word_hash(w) % FEATURES for w in own), np.int64, len(own))
-    return at, np.fromiter(own.values(), np.float64, len(own)), len(words)
+def features(text: bytes) -> np.ndarray:
+    """Feature of each word of a text, hashed to FEATURES."""
+    return (hash_words([text.translate(LOWER)])[0] % U(FEATURES)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -44,13 +41,12 @@ class Classifier:
     weights: np.ndarray  # FEATURES x domains
 
     def posterior(self, text: bytes) -> tuple[np.ndarray, int]:
-        at, n, words = counted(text)
+        at = features(text)
         score = np.log(self.prior)
-        if words:
-            total = n @ self.weights[at]
-            score = score + total * min(1.0, MOST_EVIDENCE / words)
+        if len(at):
+            score = score + self.weights[at].sum(axis=0) * min(1.0, MOST_EVIDENCE / len(at))
         score = np.exp(score - score.max())
-        return score / score.sum(), words
+        return score / score.sum(), len(at)
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, max_rows: int = 20_000) -> Classifier:
@@ -73,9 +69,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, max_rows: int = 20_000)
         seen: Counter = Counter()
         for batch in batches:
             for text, domain in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("domain").to_pylist()):
-                at, n, _ = counted(text)
                 seen[domain] += 1
-                np.add.at(total.setdefault(domain, np.zeros(FEATURES)), at, 1.0)
+                total.setdefault(domain, np.zeros(FEATURES))[np.unique(features(text))] += 1.0
         for domain, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([domain]), pa.array([seen[domain]], pa.int64()), pa.array([x.tolist()], pa.list_(pa.float64()))], ["domain", "n", "seen"])
 

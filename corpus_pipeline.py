@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least id, of each group of near copies."""
-    return simhash.keep_one_of_each(_own(docs), size=5)
+    return simhash.keep_one_of_each(_own(docs))
 
 
 def mask_identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
 CJK = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]"
 
 # Stop words of the tokenizer.
@@ -130,8 +132,12 @@ def redact_secrets(text: Column) -> Column:
 
 def shingles(tokens: Column, n: int = 5) -> Column:
     """Distinct runs of n tokens; of fewer tokens the whole sequence."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.array_distinct(F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(runs))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.array_distinct(F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(runs))
+
+    return let(tokens, of)
 
 
 def jaccard(a: Column, b: Column) -> Column:

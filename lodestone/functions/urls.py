@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
 # Query parameters that only track.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_name fbclid gclid gclsrc dclid msclkid mc_cid mc_eid igshid yclid ref ref_src ref_url _ga _gl spm si feature ocid cmpid source".split()
 # Second levels under which two-letter domains register.
@@ -68,11 +70,11 @@ def unwrap_redirect(url: Column) -> Column:
         ("^https?://(www\\.)?duckduckgo\\.com/l/?\\?", "uddg"), ("^https?://(www\\.|m\\.)?youtube\\.com/redirect\\?", "q"),
         ("^https?://(www\\.)?linkedin\\.com/redir/redirect\\?", "url"), ("^https?://slack-redir\\.net/link\\?", "url"),
     )
-    out = url
-    for pattern, names in wrappers:
-        target = F.try_url_decode(part(url, f"[?&](?:{names})=([^&#]+)"))
-        out = F.when(url.rlike(pattern) & target.rlike("^https?://"), target).otherwise(out)
-    return out
+    def of(u: Column) -> Column:
+        found = F.coalesce(*[F.when(u.rlike(pattern), F.try_url_decode(part(u, f"[?&](?:{names})=([^&#]+)"))) for pattern, names in wrappers])
+        return let(found, lambda target: F.when(target.rlike("^https?://"), target).otherwise(u))
+
+    return let(url, of)
 
 
 def clean_url(url: Column, depth: int = 3) -> Column:

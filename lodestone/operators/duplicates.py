@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import let
 from ..functions.text import content_hash, shingles, simple_tokens
 
 
@@ -50,9 +51,12 @@ def shingle_pairs(docs: DataFrame, n: int = 5, threshold: float = 0.9) -> DataFr
 def minhash_candidates(docs: DataFrame, n: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
     """(band, key, first_id, doc_id): documents that share a band of minima with the first of its bucket (a star, not all pairs)."""
     h = F.transform(shingles(simple_tokens(F.col("text")), n), lambda x: F.xxhash64(x))
-    minima = F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform("h", lambda x: F.xxhash64(x, i))))
-    keyed = docs.select("doc_id", h.alias("h")).where(F.size("h") > 0).select("doc_id", minima.alias("m"))
-    each = keyed.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("m", b * rows + 1, rows)))).alias("band", "key"))
+
+    def minima(x):
+        return F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform(x, lambda v: F.xxhash64(v, i))))
+
+    keyed = docs.select("doc_id", let(h, minima).alias("m")).where("m[0] is not null")
+    each = keyed.select("doc_id", F.posexplode(let(F.col("m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice(m, b * rows + 1, rows))))).alias("band", "key"))
     firsts = each.groupBy("band", "key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return each.join(firsts, ["band", "key"]).where("doc_id <> first_id")
 
@@ -94,8 +98,8 @@ def corroboration(chunks: DataFrame, threshold: float = 0.25, n: int = 3) -> Dat
 def char_trigrams(docs: DataFrame) -> DataFrame:
     """(doc_id, g, n): counts of the character trigrams of white-space-normalised text."""
     norm = F.trim(F.regexp_replace("text", "[ \\t-\\r]+", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substring("t", i, F.lit(3)))
-    rows = docs.select("doc_id", norm.alias("t")).where(F.length("t") >= 3).select("doc_id", F.explode(grams).alias("g"))
+    grams = let(norm, lambda t: F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))))
+    rows = docs.select("doc_id", F.explode(grams).alias("g"))
     return rows.groupBy("doc_id", "g").agg(F.count("*").alias("n"))
 
 

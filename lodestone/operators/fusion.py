@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIST = Window.partitionBy("query_id", "list_no")
 
+def each_list():
+    return Window.partitionBy("query_id", "list_no")
 
-def minmax(score: Column, window=LIST) -> Column:
+
+def minmax(score: Column, window=None) -> Column:
+    window = window or each_list()
     low, high = F.min(score).over(window), F.max(score).over(window)
     return F.when(high == low, 1.0).otherwise((score - low) / (high - low))
 
 
-def three_sigma(score: Column, window=LIST) -> Column:
+def three_sigma(score: Column, window=None) -> Column:
     """Score between mean - 3 sigma and mean + 3 sigma, clipped to 0..1."""
+    window = window or each_list()
     mean, sigma = F.avg(score).over(window), F.stddev_pop(score).over(window)
     sigma = F.when(sigma == 0, 1e-9).otherwise(sigma)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - (mean - 3.0 * sigma)) / (6.0 * sigma)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions import vectors as V
+from ..functions.common import let
 from ..operators import bm25, chunking, duplicates, evidence, fusion, greedy, html, selection
 from ..sources import acquisition as A
 from ..streaming import windows as S
@@ -519,7 +520,7 @@ def benchmark_containment(spark, d):
     items = table(spark, d, "benchmark").select("item_id", clean.alias("b")).withColumn("k", F.array_join(F.slice(F.split("b", " "), 1, 3), " ")).withColumn("short", F.size(F.split("b", " ")) < 3)
     docs = table(spark, d, "documents").select("doc_id", clean.alias("t"))
     w = F.split("t", " ")
-    runs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))).alias("k"))
+    runs = docs.select("doc_id", F.explode(let(w, lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 2, F.lit(1))), lambda i: F.array_join(F.slice(x, i, 3), " "))))).alias("k"))
     cand = items.where("not short").join(runs, "k").select("item_id", "b", "doc_id")
     long = cand.join(docs, "doc_id").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "b", F.lit(" ")))).select("item_id", "doc_id")
     one = docs.select("doc_id", "t", F.explode(F.array_distinct(w)).alias("first"))

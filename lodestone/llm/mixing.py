@@ -102,6 +102,11 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
+def matrix(batch) -> np.ndarray:
+    """The posteriors of a batch, a row for each document."""
+    return batch.column("p").flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+
+
 def replayed(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
     """(rates, point of the next step) after the accelerated steps (direction, momentum) from rate 1."""
     rate = point = np.ones(len(p))
@@ -142,7 +147,7 @@ def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: dict[str, flo
             total = np.zeros(2 * k + k * k)
             for batch in batches:
                 if batch.num_rows:
-                    p = np.array(batch.column("p").to_pylist())
+                    p = matrix(batch)
                     t = batch.column("n_tokens").to_numpy().astype(np.float64)
                     rate, point = replayed(p, steps)
                     total[:k] += (rate * t) @ p
@@ -190,7 +195,7 @@ def rated(table: DataFrame, fit: Fit) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            p = np.array(batch.column("p").to_pylist()).reshape(batch.num_rows, -1)
+            p = matrix(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, steps)[0], pa.float64())], [*batch.schema.names, "rate"])
 
     return table.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in table.schema)}, rate double")

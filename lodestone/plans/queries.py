@@ -225,9 +225,9 @@ def ranked_sql(score: str, extra: str = "", k: int = 10) -> str:
  SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= {k}"""
 
 
-def ranked(rows: DataFrame, k: int = 10) -> DataFrame:
+def ranked(rows: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
     top = bm25.top_k(rows.withColumn("score", F.round("score", 9)), k)
-    return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return top.select("query_id", "doc_id", F.round("score", digits).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(ranked_sql("sum(idf * (f * 2.2e0 / (f + 1.2e0)))"))
@@ -255,7 +255,7 @@ BMX = f"""{BM25_BASE}, ent AS (SELECT term, sum(-(1e0 / (1e0 + exp(-tf))) * ln(1
 @query(BMX)
 def bm25_bmx(spark, d):
     # sums of many logarithms: four digits do not depend on their order
-    return ranked(lexical(spark, d, bm25.Bm25Options(variant="bmx"))).withColumn("score", F.round("score", 4))
+    return ranked(lexical(spark, d, bm25.Bm25Options(variant="bmx")), digits=4)
 
 
 @query(f"""WITH w AS (SELECT doc_id, CAST(unnest(range(len({TOKENS}))) AS BIGINT) AS pos, unnest({TOKENS}) AS term FROM documents) SELECT DISTINCT a.doc_id FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'""")

@@ -141,10 +141,12 @@ def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: dict[str, flo
     k = len(domains)
 
     def sums(steps, gram):
+        size = 2 * k + (k * k if gram else 0)
+
         def run(batches):
             import pyarrow as pa
 
-            total = np.zeros(2 * k + k * k)
+            total = np.zeros(size)
             for batch in batches:
                 if batch.num_rows:
                     p = matrix(batch)
@@ -158,9 +160,9 @@ def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: dict[str, flo
 
         # one row of k numbers for each task
         parts = table.select("n_tokens", "p").mapInArrow(run, "s array<double>")
-        got = parts.agg(*[F.sum(F.col("s")[i]) for i in range(2 * k + k * k)]).first()
+        got = parts.agg(*[F.sum(F.col("s")[i]) for i in range(size)]).first()
         total = np.array([x or 0.0 for x in got])
-        return total[:k], total[k : 2 * k], total[2 * k :].reshape(k, k)
+        return total[:k], total[k : 2 * k], total[2 * k :].reshape(-1, k)
 
     have, _, gram = sums([], True)
     if not have.sum():

@@ -1,42 +1,39 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Word and word-pair counts are gathered over all training documents (packed
-arrays, pre-aggregated in tasks, merged by hash shard).  Counts are quantised on
-a logarithmic scale; level l of an n-gram is held by l members (n-gram, 1..l) of
-a Bloom filter, so repeated membership probes read it back.  The filter has a
-fixed largest size, which bounds the broadcast; where the corpus holds more than
-fits, the scale starts at a higher count.
+Texts become packed blocks of tokens.  The words and word pairs of a block go to
+hash shards, with their counts in the training documents (zero if none).  A shard
+merges the counts, quantises them on a logarithmic scale, and puts them into its
+segment of a Bloom filter: level l of an n-gram is held by l members (n-gram,
+1..l), so repeated membership probes read it back.  The shard probes its segment
+for every n-gram asked for, and the levels go back to the blocks.
+
+Segments are sized by their members, and the number of shards grows with the
+text; no filter is broadcast or sent to the driver, so nothing bounds what the
+model keeps: every word and every pair, also those seen once.
 
 Probability: absolute discounting.  A stored pair gets its discounted share of
 its first word, and the mass that the stored pairs of that word leave goes to
 the smoothed word distribution.  How much they take is held, quantised upwards,
-in a second filter.
+in a second filter, beside the first word's shard.
 
-The base score needs exact counts.  Frequent words (a table of bounded size)
-travel with the filter; a word that the filter excludes has count zero; all
-others are joined with the counts.
+The base score needs exact counts; they come back with the levels.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import BITS_EACH, Filter, U, bloom_add, collected, members_of, merged, mix, packed, segment_size, shard_of, unpacked
-from .shared import dropped, texts, written
+from .hashing import BITS_EACH, Filter, U, bloom_add, members_of, merged, mix, packed, shard_of, unpacked
+from .shared import texts, written
 
 LOWER = bytes(range(256)).lower()
 #: The end of a document; no word holds a space.
 END_WORD = b" end"
-#: Bits of the two filters at most: 64 and 16 MB.
-MOST_BITS, MOST_MASS_BITS = 1 << 29, 1 << 27
-#: Words whose exact counts are broadcast at most: 16 MB.
-MOST_EXACT = 1 << 20
 DISCOUNT = 0.75
 #: Tokens that a task gathers before it merges equal ones and passes them on.
 FLUSH = 4_000_000
@@ -57,10 +54,10 @@ def middle(least: int) -> np.ndarray:
 
 
 def pairs_of(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, spread): 32 bits of the first word and 32 of the pair; spread deals pairs to shards."""
+    """(key, spread): the first word's upper 32 bits, which name its shard, and 32 of the pair; spread deals pairs to shards."""
     with np.errstate(over="ignore"):
         x = mix(first ^ (second * U(0x9E3779B97F4A7C15)))
-    return (first << U(32)) | (x & U(0xFFFFFFFF)), x
+    return (first >> U(32) << U(32)) | (x & U(0xFFFFFFFF)), x
 
 
 def hashed(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,220 +75,203 @@ def hashed(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)), np.array(tokens, np.int64), np.array(sizes, np.int64)
 
 
-def first_words(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The token before each one; before the first of a text stands the end."""
+def first_words(tokens: np.ndarray) -> np.ndarray:
+    """The token before each one; before the first of a text stands the end, the last token of all."""
     before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]  # behind another text's end the token before is that end, index 0
-    before[:1] = 0
+    before[1:] = tokens[:-1]  # behind another text's end the token before is that end
+    before[:1] = tokens[-1:]
     return before
 
 
-def gathered(train: DataFrame, bits: int) -> DataFrame:
-    """(shard, words, word_counts, pairs, pair_counts): packed counts of what a task read, some tokens at a time."""
+def blocks_of(docs: DataFrame, train: Column | None) -> DataFrame:
+    """(block, n_bytes, doc_ids, learned, sizes, words, tokens): packed texts of what a task read, some tokens at a time.
+
+    words: hashes of the distinct words in order; tokens: indexes into them.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        held: list[list[np.ndarray]] = [[], [], [], []]
-        size = 0
+        block = TaskContext.get().partitionId() << 40
+        ids, learned, parts = [], [], []
+        size = n_bytes = 0
 
-        def rows():
-            words, n = merged(np.concatenate(held[0]), np.concatenate(held[1]))
-            key, spread = np.concatenate(held[2]), np.concatenate(held[3])
-            shard = shard_of(spread, bits)
-            order = np.lexsort((key, shard))
-            key, shard = key[order], shard[order]
-            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])]))
-            m = np.diff(np.append(at, len(key)))
-            key, shard = key[at], shard[at]
-            edges = np.arange((1 << bits) + 1)
-            a, b = np.searchsorted(shard_of(words, bits), edges), np.searchsorted(shard, edges)
-            cols = [[], [], [], [], []]
-            for s in range(1 << bits):
-                if a[s] < a[s + 1] or b[s] < b[s + 1]:
-                    own = (s, packed(words[a[s] : a[s + 1]]), packed(n[a[s] : a[s + 1]]), packed(key[b[s] : b[s + 1]]), packed(m[b[s] : b[s + 1]]))
-                    for c, v in zip(cols, own):
-                        c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if not i else pa.binary()) for i, c in enumerate(cols)], ["shard", "words", "word_counts", "pairs", "pair_counts"])
+        def row():
+            words, at = np.unique(np.concatenate([h for h, _, _ in parts]), return_inverse=True)
+            edges = np.cumsum([0] + [len(h) for h, _, _ in parts])
+            tokens = np.concatenate([at[a:][t] for a, (_, t, _) in zip(edges, parts)]).astype(np.uint32)
+            values = [block, n_bytes, ids, packed(np.concatenate(learned)), packed(np.concatenate([s for _, _, s in parts])), packed(words), packed(tokens)]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["block", "n_bytes", "doc_ids", "learned", "sizes", "words", "tokens"])
 
         for batch in batches:
             column = batch.column("text").cast(pa.binary())
             for at in range(0, len(column), 2048):
-                hashes, tokens, sizes = hashed(column.slice(at, 2048).to_pylist())
-                h = hashes[tokens]
-                key, spread = pairs_of(hashes[first_words(tokens, sizes)], h)
-                counts = np.bincount(tokens, minlength=len(hashes))
-                for x, v in zip(held, (hashes, counts, key, spread)):
-                    x.append(v)
-                size += len(tokens)
+                part = column.slice(at, 2048).to_pylist()
+                parts.append(hashed(part))
+                ids.extend(batch.column("doc_id").slice(at, 2048).to_pylist())
+                learned.append(batch.column("learned").slice(at, 2048).to_numpy(zero_copy_only=False).astype(np.uint8))
+                n_bytes += sum(map(len, part))
+                size += len(parts[-1][1])
                 if size >= FLUSH:
-                    yield rows()
-                    held, size = [[], [], [], []], 0
+                    yield row()
+                    ids, learned, parts, size, n_bytes, block = [], [], [], 0, 0, block + 1
         if size:
-            yield rows()
+            yield row()
 
-    return train.select("text").mapInArrow(run, "shard long, words binary, word_counts binary, pairs binary, pair_counts binary")
+    flag = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
+    return texts(docs, flag.alias("learned")).mapInArrow(run, "block long, n_bytes long, doc_ids array<long>, learned binary, sizes binary, words binary, tokens binary")
 
 
-SHARD = "shard long, words binary, word_counts binary, pairs binary, pair_counts binary, n_tokens long, n_words long, word_levels array<long>, pair_levels array<long>"
+def block_pairs(words: np.ndarray, tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the distinct pairs by shard, their shards, the pair of each token and the one before it)."""
+    key, spread = pairs_of(words[first_words(tokens)], words[tokens])
+    shard = shard_of(spread, bits)
+    del spread
+    order = np.lexsort((key, shard)) if bits else np.argsort(key)
+    key, shard = key[order], shard[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return key[new], shard[new], number
 
 
-def merge_shard(table):
-    """One row for a shard: its words with counts, its pairs that occur twice or more, and how many there are by level."""
-    import pyarrow as pa
+def dealt(shards: np.ndarray, bits: int):
+    """(shard, slice) of each shard that has rows; shards are in order."""
+    edges = np.searchsorted(shards, np.arange((1 << bits) + 1))
+    for s in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        yield s, slice(edges[s], edges[s + 1])
 
-    def whole(keys, counts):
-        return merged(np.concatenate([unpacked(x, np.uint64) for x in table.column(keys).to_pylist()]), np.concatenate([unpacked(x, np.int64) for x in table.column(counts).to_pylist()]))
-
-    words, n = whole("words", "word_counts")
-    pairs, m = whole("pairs", "pair_counts")
-    kept = m >= 2
-    t = thresholds(1)
-    levels = [np.bincount(np.searchsorted(t, x, "right"), minlength=len(t) + 1) for x in (n, m)]
-    values = [table.column("shard")[0].as_py(), packed(words), packed(n), packed(pairs[kept]), packed(m[kept]), int(n.sum()), len(n), levels[0], levels[1]]
-    kinds = [pa.int64()] + [pa.binary()] * 4 + [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
-    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in SHARD.split(", ")])
-
-
-@dataclass(frozen=True)
-class Model:
-    """What is broadcast for scoring; its size is bounded by MOST_BITS, MOST_MASS_BITS and MOST_EXACT."""
-
-    counts: Filter
-    masses: Filter
-    words: np.ndarray  # frequent words with exact counts
-    exact: np.ndarray
-    least_word: int
-    least_pair: int
-    n_tokens: int
-    n_words: int
-    total: float  # of the counts that word levels stand for
-
-
-def fit(docs: DataFrame, train: Column | None = None) -> tuple[Model, DataFrame]:
-    """The model, and the written table of shards with all exact word counts."""
-    rows = texts(docs if train is None else docs.where(train))
-    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, chars / SHARD_CHARS))))
-    shards = written(gathered(rows, bits).groupBy("shard").applyInArrow(merge_shard, SHARD))
-    sums = shards.agg(F.sum("n_tokens"), F.sum("n_words"), *[F.sum(F.col(c)[i]) for c in ("word_levels", "pair_levels") for i in range(len(thresholds(1)) + 1)]).first()
-    n_tokens, n_words = sums[0] or 0, sums[1] or 0
-    n = len(thresholds(1)) + 1
-    by_level = [np.array([x or 0 for x in sums[2 + k * n : 2 + (k + 1) * n]], np.int64) for k in (0, 1)]
-    # the scale starts where all members fit the filter: of pairs at 2, of words at 1, else higher, pairs first
-    t = thresholds(1)
-
-    def size_from(level: int, k: int) -> int:
-        return int((by_level[k][level:] * np.arange(1, n - level + 1)).sum())
-
-    word_level, pair_level = 1, 2
-    while BITS_EACH * (size_from(word_level, 0) + size_from(pair_level, 1)) > MOST_BITS:
-        if size_from(pair_level, 1) >= size_from(word_level, 0) or pair_level < 4:
-            pair_level += 1
-        else:
-            word_level += 1
-    least_word, least_pair = int(t[word_level - 1]), int(t[pair_level - 1])
-    size = segment_size(size_from(word_level, 0) + size_from(pair_level, 1), bits, MOST_BITS)
-    # frequent words: as many whole levels from above as fit
-    upper = n
-    while upper > 1 and by_level[0][upper - 1 :].sum() <= MOST_EXACT:
-        upper -= 1
-    most_from = int(t[upper - 1]) if upper > 1 or by_level[0][1:].sum() > MOST_EXACT else 1
-    word_steps, pair_steps, pair_middle = thresholds(least_word), thresholds(least_pair), middle(least_pair)
-    word_middle = middle(least_word)
-
-    def segment(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                words, c = unpacked(r["words"], np.uint64), unpacked(r["word_counts"], np.int64)
-                pairs, m = unpacked(r["pairs"], np.uint64), unpacked(r["pair_counts"], np.int64)
-                own = np.zeros(size // 8, np.uint8)
-                word_levels = np.searchsorted(word_steps, c, "right")
-                bloom_add(own, size, members_of(words, word_levels))
-                stored = m >= least_pair
-                levels = np.searchsorted(pair_steps, m[stored], "right")
-                bloom_add(own, size, members_of(mix(pairs[stored]), levels))
-                often = c >= most_from
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"]], pa.int64()), pa.array([own.tobytes()], pa.binary()), pa.array([words[often].tobytes()], pa.binary()), pa.array([c[often].tobytes()], pa.binary()), pa.array([float(word_middle[word_levels].sum())])],
-                    ["shard", "bits", "words", "counts", "total"],
-                )
-
-    def taken(batches):
-        """What the stored pairs of a first word take from it, summed in the shard."""
+REQUEST = "shard long, block long, keys binary, counts binary"
+
+
+def requests(blocks: DataFrame, bits: int, of_pairs: bool) -> DataFrame:
+    """REQUEST rows: the distinct words or pairs of each block, and how often its training documents hold them."""
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for r in batch.to_pylist():
-                pairs, m = unpacked(r["pairs"], np.uint64), unpacked(r["pair_counts"], np.int64)
-                stored = m >= least_pair
-                firsts, at = np.unique(pairs[stored] >> U(32), return_inverse=True)
-                mass = np.bincount(at, pair_middle[np.searchsorted(pair_steps, m[stored], "right")] - DISCOUNT, len(firsts))
-                yield pa.RecordBatch.from_arrays([pa.array(firsts.astype(np.int64)), pa.array(mass, pa.float64())], ["first", "mass"])
+                words, tokens = unpacked(r["words"], np.uint64), unpacked(r["tokens"], np.uint32)
+                learned = np.repeat(unpacked(r["learned"], np.uint8), unpacked(r["sizes"], np.int64)) > 0
+                keys, shards, number = block_pairs(words, tokens, bits) if of_pairs else (words, shard_of(words, bits), tokens)
+                counts = np.bincount(number[learned], minlength=len(keys))
+                rows = [(s, r["block"], packed(keys[at]), packed(counts[at])) for s, at in dealt(shards, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 2 + [pa.binary()] * 2)], ["shard", "block", "keys", "counts"])
 
-    def mass_segment(table):
-        import pyarrow as pa
+    return blocks.select("block", "learned", "sizes", "words", "tokens").mapInArrow(run, REQUEST)
 
-        own = np.zeros(mass_size // 8, np.uint8)
-        firsts = table.column("first").to_numpy().astype(np.uint64)
-        bloom_add(own, mass_size, members_of(mix(firsts), table.column("level").to_numpy()))
-        return pa.Table.from_arrays([pa.array([table.column("shard")[0].as_py()], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["shard", "bits"])
 
-    counts, got = collected(shards.select("shard", "words", "word_counts", "pairs", "pair_counts").mapInArrow(segment, "shard long, bits binary, words binary, counts binary, total double"), size, bits)
-    words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in got] or [np.zeros(0, np.uint64)])
-    exact = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in got] or [np.zeros(0, np.int64)])
-    order = np.argsort(words)
-    masses = shards.select("pairs", "pair_counts").mapInArrow(taken, "first long, mass double").groupBy("first").agg(F.sum("mass").alias("mass"))
-    # upwards: the least level whose count is no less than the mass
-    leveled = written(masses.select("first", (F.size(F.filter(F.array(*[F.lit(float(x)) for x in t]), lambda x: x < F.col("mass"))) + 1).cast("long").alias("level")))
-    n_masses = leveled.agg(F.sum("level")).first()[0] or 0
-    mass_bits = max(0, bits - 3)
-    # where even the largest filter is too small its answers only err towards larger masses
-    mass_size = segment_size(n_masses, mass_bits, MOST_MASS_BITS)
-    spread = leveled.select("first", "level", F.shiftrightunsigned(F.col("first") * (1 << 31), 63 - mass_bits).alias("shard") if mass_bits else F.lit(0).cast("long").alias("shard"))
-    masses_filter, _ = collected(spread.groupBy("shard").applyInArrow(mass_segment, "shard long, bits binary"), mass_size, mass_bits)
-    dropped(leveled)
-    return Model(counts, masses_filter, words[order], exact[order], least_word, least_pair, n_tokens, n_words, sum(r["total"] for r in got)), shards
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sums of their counts, and where each key is among them."""
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64), at
+
 
+def filled(grams: np.ndarray, levels: np.ndarray) -> Filter:
+    """One segment of a log-frequency Bloom filter, with BITS_EACH bits for each of its members."""
+    size = max(64, -(-BITS_EACH * int(levels.sum()) // 64) * 64)
+    bits = np.zeros(size // 8, np.uint8)
+    bloom_add(bits, size, members_of(grams, levels))
+    return Filter(bits, 0, size)
+
+
+def probed(f: Filter, grams: np.ndarray) -> np.ndarray:
+    return f.levels(grams, np.zeros(len(grams), np.int64)).astype(np.uint8)
+
+
+def made(rows: list[tuple], schema: str):
+    """A table of rows in a schema of longs, doubles and binaries."""
+    import pyarrow as pa
 
-def mass_shard(first: np.ndarray, bits: int) -> np.ndarray:
-    return (first >> U(32 - bits)).astype(np.int64) if bits else np.zeros(len(first), np.int64)
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(fields)})
 
 
-def word_counts(shards: DataFrame) -> DataFrame:
-    """(word, c): exact counts by word hash."""
+def split(values: np.ndarray, parts: list[np.ndarray]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum([len(x) for x in parts])[:-1])
+
+
+PAIRS = "block long, shard long, levels binary, firsts binary, masses binary"
+
+
+def answer_pairs(table):
+    """Levels of the pairs of each block in one shard; its first row holds what the shard's pairs take from their first words."""
+    keys, counts = [[unpacked(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("keys", np.uint64), ("counts", np.int64))]
+    pairs, m, at = summed(keys, counts)
+    levels = np.searchsorted(thresholds(1), m, "right")
+    got = probed(filled(mix(pairs), levels), mix(pairs))[at]
+    stored = m > 0
+    firsts, mass = merged(pairs[stored] >> U(32), middle(1)[levels[stored]] - DISCOUNT)
+    shard = table.column("shard")[0].as_py()
+    taken = [(packed(firsts), packed(mass))] + [(None, None)] * (len(keys) - 1)
+    return made([(b, shard, packed(x), *t) for b, x, t in zip(table.column("block").to_pylist(), split(got, keys), taken)], PAIRS)
+
+
+def masses_of(pairs: DataFrame, bits: int) -> DataFrame:
+    """(shard, firsts, masses): what pairs take from first words, by the first word's shard; summed in tasks."""
 
     def run(batches):
         import pyarrow as pa
 
+        held: list[list[np.ndarray]] = [[], []]
+        size = 0
+
+        def rows():
+            firsts, mass = merged(np.concatenate(held[0]), np.concatenate(held[1]))
+            out = [(s, packed(firsts[at]), packed(mass[at])) for s, at in dealt(shard_of(firsts << U(32), bits), bits)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate([pa.int64(), pa.binary(), pa.binary()])], ["shard", "firsts", "masses"])
+
         for batch in batches:
-            for words, counts in zip(batch.column("words").to_pylist(), batch.column("word_counts").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(unpacked(words, np.uint64).view(np.int64)), pa.array(unpacked(counts, np.int64))], ["word", "c"])
+            for r in batch.to_pylist():
+                held[0].append(unpacked(r["firsts"], np.uint64))
+                held[1].append(unpacked(r["masses"], np.float64))
+                size += len(held[0][-1])
+                if size >= FLUSH:
+                    yield rows()
+                    held, size = [[], []], 0
+        if size:
+            yield rows()
+
+    return pairs.where("firsts is not null").select("firsts", "masses").mapInArrow(run, "shard long, firsts binary, masses binary")
+
 
-    return shards.select("words", "word_counts").mapInArrow(run, "word long, c long")
+WORDS = "block long, shard long, counts binary, levels binary, masses binary, n_tokens long, n_words long, total double"
 
 
-def log_probabilities(model: Model, hashes: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability of each token after the one before it, level of each distinct word)."""
-    levels = model.counts.levels(hashes, shard_of(hashes, model.counts.shard_bits))
-    count = middle(model.least_word)[levels]
-    word_p = (count + 0.5) / (model.total + 0.5 * (model.n_words + 1))
-    first = hashes & U(0xFFFFFFFF)
-    mass_levels = model.masses.levels(mix(first), mass_shard(first, model.masses.shard_bits))
+def answer_words(table):
+    """Counts, levels and mass levels of the words of each block in one shard; its first row holds the shard's sums."""
+    asked = [r for r in table.to_pylist() if r["block"] is not None]
+    taken = [r for r in table.to_pylist() if r["block"] is None]
+    keys = [unpacked(r["keys"], np.uint64) for r in asked]
+    words, n, at = summed(keys, [unpacked(r["counts"], np.int64) for r in asked])
+    levels = np.searchsorted(thresholds(1), n, "right")
+    got = probed(filled(words, levels), words)[at]
+    firsts, mass = merged(np.concatenate([np.zeros(0, np.uint64)] + [unpacked(r["firsts"], np.uint64) for r in taken]), np.concatenate([np.zeros(0)] + [unpacked(r["masses"], np.float64) for r in taken]))
+    # upwards: the least level whose count is no less than the mass
+    mass_levels = np.searchsorted(thresholds(1), mass, "left") + 1
+    mass_got = probed(filled(mix(firsts), mass_levels), mix(words >> U(32)))[at]
+    shard = table.column("shard")[0].as_py()
+    sums = [(int(n.sum()), int((n > 0).sum()), float(middle(1)[levels].sum()))] + [(0, 0, 0.0)] * (len(keys) - 1)
+    rows = zip(asked, split(n[at], keys), split(got, keys), split(mass_got, keys), sums)
+    return made([(r["block"], shard, packed(c), packed(x), packed(y), *z) for r, c, x, y, z in rows], WORDS)
+
+
+def log_probabilities(n_words: int, total: float, tokens: np.ndarray, levels: np.ndarray, mass_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+    """log10 probability of each token after the one before it; levels and mass_levels by word, pair_levels by token."""
+    count = middle(1)[levels]
+    word_p = (count + 0.5) / (total + 0.5 * (n_words + 1))
     mass = np.append(0, thresholds(1))[np.minimum(mass_levels, len(thresholds(1)))].astype(np.float64)
     # where quantised counts contradict each other, the first word's count gives way
     context = np.maximum(np.maximum(count, mass * 16 / 15), 1.0)
     left = 1 - mass / context
-    before = first_words(tokens, sizes)
-    key, spread = pairs_of(hashes[before], hashes[tokens])
-    pair_levels = np.zeros(len(tokens), np.int64)
-    maybe = np.flatnonzero(mass[before] > 0)  # without mass no pair of the word is stored
-    pair_levels[maybe] = model.counts.levels(mix(key[maybe]), shard_of(spread[maybe], model.counts.shard_bits))
-    pair = np.maximum(middle(model.least_pair)[pair_levels] - DISCOUNT, 0)
-    p = pair / context[before] + left[before] * word_p[tokens]
-    return np.log10(np.minimum(p, 1.0)), levels
+    before = first_words(tokens)
+    # without mass no pair of the word is stored
+    pair = np.where(mass[before] > 0, np.maximum(middle(1)[pair_levels] - DISCOUNT, 0), 0)
+    return np.log10(np.minimum(pair / context[before] + left[before] * word_p[tokens], 1.0))
 
 
 def score(docs: DataFrame, train: Column | None = None) -> DataFrame:
@@ -302,41 +282,33 @@ def score(docs: DataFrame, train: Column | None = None) -> DataFrame:
     each; a null doc_id stays null.  With nothing to learn from all counts are
     zero.  An empty table gives no rows; other columns are ignored.
     """
-    model, shards = fit(docs, train)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    unit = math.log10(model.n_tokens + 0.5 * (model.n_words + 1))
-
-    def run(batches):
+    blocks = written(blocks_of(docs, train))
+    n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, n_bytes / SHARD_CHARS))))
+    pairs = written(requests(blocks, bits, True).groupBy("shard").applyInArrow(answer_pairs, PAIRS))
+    asked = requests(blocks, bits, False).unionByName(masses_of(pairs, bits), allowMissingColumns=True)
+    words = written(asked.groupBy("shard").applyInArrow(answer_words, WORDS))
+    sums = words.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum("total")).first()
+    n_tokens, n_words, total = sums[0] or 0, sums[1] or 0, sums[2] or 0.0
+    unit = math.log10(n_tokens + 0.5 * (n_words + 1))
+    fields = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+    def run(block, answers):
         import pyarrow as pa
 
-        m, row = shared.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            column = batch.column("text").cast(pa.binary())
-            for at in range(0, len(column), 1024):
-                part = column.slice(at, 1024)
-                hashes, tokens, sizes = hashed(part.to_pylist())
-                logs, levels = log_probabilities(m, hashes, tokens, sizes)
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                i = np.minimum(np.searchsorted(m.words, hashes), max(len(m.words) - 1, 0))
-                known = m.words[i] == hashes if len(m.words) else np.zeros(len(hashes), bool)
-                count = np.where(known, m.exact[i] if len(m.words) else 0, 0)
-                # a word that the filter excludes was never seen
-                sure = known | ((levels == 0) & (m.least_word == 1))
-                word_log = np.where(sure, np.log10(count + 0.5), 0.0)
-                rare = [hashes[tokens[a:b]][~sure[tokens[a:b]]].view(np.int64) for a, b in zip(starts, ends)]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(at, 1024), pa.array(sizes), pa.array(np.add.reduceat(count[tokens] > 0, starts, dtype=np.int64)), pa.array(np.add.reduceat(word_log[tokens], starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(rare, pa.list_(pa.int64()))],
-                    ["row", "doc_id", "n_tokens", "n_known", "logs", "score", "rare"],
-                )
-                row += n
-
-    scored = written(texts(docs).mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, score double, rare array<long>"))
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    more = rare.join(word_counts(shards), "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
-    return scored.drop("rare").join(more, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * unit).alias("base_score"), "score",
-    )
+        words, tokens, sizes = [unpacked(block.column(c)[0].as_py(), k) for c, k in (("words", np.uint64), ("tokens", np.uint32), ("sizes", np.int64))]
+        rows = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+        of_pairs = np.concatenate([unpacked(r["levels"], np.uint8) for r in rows if r["counts"] is None])
+        own = [r for r in rows if r["counts"] is not None]
+        counts, levels, masses = [np.concatenate([unpacked(r[c], k) for r in own]) for c, k in (("counts", np.int64), ("levels", np.uint8), ("masses", np.uint8))]
+        pair_levels = of_pairs[block_pairs(words, tokens, bits)[2]]
+        logs = log_probabilities(n_words, total, tokens, levels, masses, pair_levels)
+        starts = np.cumsum(sizes) - sizes
+        values = [sizes, np.add.reduceat((counts > 0)[tokens], starts, dtype=np.int64), np.add.reduceat(np.log10(counts + 0.5)[tokens], starts) - sizes * unit, np.add.reduceat(logs, starts)]
+        return pa.table([block.column("doc_ids").combine_chunks().flatten(), *map(pa.array, values)], names=[x.split()[0] for x in fields.split(", ")])
+
+    none = F.lit(None).cast("binary")
+    answers = pairs.select("block", "shard", "levels", none.alias("counts"), none.alias("masses")).unionByName(words.select("block", "shard", "levels", "counts", "masses"))
+    kept = blocks.select("block", "doc_ids", "sizes", "words", "tokens")
+    scored = kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, fields)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import language_model, line_quality, minhash, mixing, packing, personal_data, simhash, substring_dedup, token_files, tokens, toxicity
 
@@ -186,3 +187,12 @@ def test_mixing(docs, labels, empty, odd):
     assert np.abs(fit.reached - fit.targets).max() <= 0.01 * fit.targets.sum()
     assert mixing.mix_to_targets(empty, mixing.language_quality(empty, labels)).count() == 0
     assert mixing.mix_to_targets(odd, mixing.language_quality(odd, labels)).count() == 5
+
+
+def test_language_model_keeps_all_pairs(spark):
+    """A pair seen once counts, and nothing that the model keeps has a largest size."""
+    learned = [(i, f"p{i} q{i}") for i in range(400)]
+    asked = [(1000, "p7 q7"), (1001, "p7 q8")]
+    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(learned + asked, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert got[1000] > got[1001] + 1
+    assert not [x for x in vars(language_model) if x.startswith("MOST")]

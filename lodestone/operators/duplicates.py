@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,21 +96,40 @@ def corroboration(chunks: DataFrame, threshold: float = 0.25, n: int = 3) -> Dat
     return pair.where(F.col("j") >= threshold).groupBy("query_id", "doc_id").agg((F.count_distinct("domain") + 1).alias("domains"))
 
 
-def char_trigrams(docs: DataFrame) -> DataFrame:
-    """(doc_id, g, n): counts of the character trigrams of white-space-normalised text."""
-    norm = F.trim(F.regexp_replace("text", "[ \\t-\\r]+", " "))
-    grams = let(norm, lambda t: F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))))
-    rows = docs.select("doc_id", F.explode(grams).alias("g"))
-    return rows.groupBy("doc_id", "g").agg(F.count("*").alias("n"))
+def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct character trigrams in order, their counts)."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:], return_counts=True)
+
+
+def trigram_f1(a: str, b: str) -> float:
+    (ga, na), (gb, nb) = trigram_counts(a), trigram_counts(b)
+    _, at_a, at_b = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
+    return 2.0 * float(np.minimum(na[at_a], nb[at_b]).sum()) / float(na.sum() + nb.sum())
 
 
 def trigram_scores(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, f1): multiset overlap of character trigrams for pairs (a, b)."""
-    ga, gb = char_trigrams(left), char_trigrams(right)
-    ta, tb = ga.groupBy("doc_id").agg(F.sum("n").alias("ta")), gb.groupBy("doc_id").agg(F.sum("n").alias("tb"))
-    common = pairs.join(ga.withColumnRenamed("doc_id", "a").withColumnRenamed("n", "na"), "a").join(gb.withColumnRenamed("doc_id", "b").withColumnRenamed("n", "nb"), ["b", "g"]).groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("c"))
-    rows = pairs.join(common, ["a", "b"], "left").join(ta.withColumnRenamed("doc_id", "a"), "a").join(tb.withColumnRenamed("doc_id", "b"), "b")
-    return rows.select("a", "b", (2.0 * F.coalesce("c", F.lit(0)) / (F.col("ta") + F.col("tb"))).alias("f1"))
+    """(a, b, f1): multiset overlap of character trigrams of white-space-normalised texts for pairs (a, b); texts without a trigram have no row.
+
+    Trigrams are counted where the two texts meet, as one row for each character
+    of long texts is too many to shuffle.
+    """
+    norm = F.trim(F.regexp_replace("text", "[ \\t-\\r]+", " "))
+
+    def side(docs: DataFrame, key: str) -> DataFrame:
+        return docs.select(F.col("doc_id").alias(key), norm.alias(f"t{key}")).where(F.length(f"t{key}") >= 3)
+
+    rows = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").select("a", "b", "ta", "tb")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            f1 = [trigram_f1(x.as_py(), y.as_py()) for x, y in zip(batch.column("ta"), batch.column("tb"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(f1, pa.float64())], ["a", "b", "f1"])
+
+    kind = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"a {kind['a']}, b {kind['b']}, f1 double")
 
 
 def first_of_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

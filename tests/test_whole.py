@@ -23,3 +23,18 @@ def test_lexical_queries_use_all_terms(spark, tmp_path):
                 f = w.count(t) / (0.25 + 0.75 * len(w) / average)
                 want[i] = want.get(i, 0) + math.log(1 + (3 - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2)
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_trigrams_of_long_texts(spark, tmp_path):
+    from collections import Counter
+
+    texts = {1: "short  text é日", 2: "long text " * 900, 3: "another long\ntext, " * 300, 4: "ab"}
+    put(spark, tmp_path, "documents", [(i, t, len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long")
+    got = {(r.a, r.b): r.f1 for r in queries.trigram_f1(spark, str(tmp_path)).collect()}
+
+    def grams(t):
+        t = " ".join(t.split())
+        return Counter(t[i : i + 3] for i in range(len(t) - 2))
+
+    want = {(a, a + 1): (grams(texts[a]), grams(texts[a + 1])) for a in (1, 2)}
+    assert got == {k: round(2 * (x & y).total() / (x.total() + y.total()), 6) for k, (x, y) in want.items()}

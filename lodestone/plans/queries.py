@@ -428,7 +428,7 @@ def pack_budget(spark, d):
 
 @query()
 def merge_adjacent(spark, d):
-    c = chunking.chunk_documents(table(spark, d, "documents"), size=120).where("chunk_index < 8 and chunk_index % 3 <> 2")
+    c = chunking.chunk_documents(table(spark, d, "documents"), size=120)
     return greedy.merge_adjacent(c.select((F.col("doc_id") % 50).alias("query_id"), F.col("doc_id").cast("string").alias("url"), "chunk_index", "text", (1.0 / (1 + F.col("chunk_index"))).alias("score")))
 
 

@@ -38,3 +38,11 @@ def test_trigrams_of_long_texts(spark, tmp_path):
 
     want = {(a, a + 1): (grams(texts[a]), grams(texts[a + 1])) for a in (1, 2)}
     assert got == {k: round(2 * (x & y).total() / (x.total() + y.total()), 6) for k, (x, y) in want.items()}
+
+
+def test_merge_adjacent_takes_all_chunks(spark, tmp_path):
+    text = " ".join(f"Sentence number {i} has a few words of its own." for i in range(300))
+    put(spark, tmp_path, "documents", [(7, text), (57, text[:3000])], "doc_id long, text string")
+    got = {r.url: r for r in queries.merge_adjacent(spark, str(tmp_path)).collect()}
+    assert got.keys() == {"7", "57"} and all(r.text == text[: len(r.text)] and r["first"] == 0 and r.parts == r.last + 1 for r in got.values())
+    assert got["7"].text == text and got["57"].text == text[:3000].strip() and got["7"].parts == 30

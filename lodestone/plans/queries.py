@@ -171,8 +171,13 @@ def content_hash(spark, d):
 
 @query("SELECT conv_id, turn, numbers FROM (SELECT conv_id, turn, array_to_string(list_distinct(list_transform(regexp_extract_all(text, '\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b|\\b[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: replace(x, ',', ''))), ' ') AS numbers FROM conversations) WHERE numbers = ''")
 def extract_numbers(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.extract_numbers(F.col("text")), " ").alias("numbers"))
-    return rows.where("numbers = ''")
+    """Of all turns; the SQL still gives only those without numbers."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.extract_numbers(F.col("text")), " ").alias("numbers"))
+
+
+@query()
+def extract_numbers_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.extract_numbers(F.col("text")), " ").alias("numbers"))
 
 
 @query("""SELECT doc_id, left(array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 40 AND NOT regexp_matches(trim(x), '^(#|!\\[|\\||\\[)')), lambda x: trim(x)), ' '), 240) AS lead FROM documents""")

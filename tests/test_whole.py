@@ -46,3 +46,12 @@ def test_merge_adjacent_takes_all_chunks(spark, tmp_path):
     got = {r.url: r for r in queries.merge_adjacent(spark, str(tmp_path)).collect()}
     assert got.keys() == {"7", "57"} and all(r.text == text[: len(r.text)] and r["first"] == 0 and r.parts == r.last + 1 for r in got.values())
     assert got["7"].text == text and got["57"].text == text[:3000].strip() and got["7"].parts == 30
+
+
+def test_numbers_of_all_rows(spark, tmp_path):
+    texts = ["In 2024-05-06 it cost 1,234.50 or 12%, again 12%", "none here", "7"]
+    put(spark, tmp_path, "conversations", [(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    put(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    want = ["2024-05-06 1234.50 12%", "", "7"]
+    assert [r.numbers for r in queries.extract_numbers(spark, str(tmp_path)).orderBy("turn").collect()] == want
+    assert [r.numbers for r in queries.QUERIES["extract_numbers_documents"](spark, str(tmp_path)).orderBy("doc_id").collect()] == want

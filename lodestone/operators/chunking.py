@@ -69,8 +69,8 @@ def split_span(md: str, start: int, end: int, most: int, level: int = 0) -> list
     return out
 
 
-def chunk_markdown(md: str, size: int = 480, overlap: int = 60, min_chars: int = 40, most: int = 200) -> list[dict]:
-    """Chunks with start, end and breadcrumb; md[start:end] is the text before it is stripped."""
+def chunk_markdown(md: str, size: int = 480, overlap: int = 60, min_chars: int = 40, most: int | None = None) -> list[dict]:
+    """Chunks with start, end and breadcrumb, the first `most` if given; md[start:end] is the text before it is stripped."""
     spans: list[tuple[int, int, tuple[str, ...], bool]] = []
     for s, e, trail, code in sections(md):
         limit = int(size * 1.5) if code else size
@@ -93,7 +93,7 @@ def chunk_markdown(md: str, size: int = 480, overlap: int = 60, min_chars: int =
         text = md[begin:e].strip()
         if len(text) >= min_chars:
             out.append({"chunk_index": len(out), "start": begin, "end": e, "breadcrumb": " > ".join(trail), "text": text})
-        if len(out) >= most:
+        if most is not None and len(out) >= most:
             break
     return out
 
@@ -101,7 +101,7 @@ def chunk_markdown(md: str, size: int = 480, overlap: int = 60, min_chars: int =
 SCHEMA = "doc_id long, chunk_index int, start int, end int, breadcrumb string, text string"
 
 
-def chunk_documents(docs: DataFrame, size: int = 480, overlap: int = 60, min_chars: int = 100, most: int = 200) -> DataFrame:
+def chunk_documents(docs: DataFrame, size: int = 480, overlap: int = 60, min_chars: int = 100, most: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> chunks; the greedy cut is sequential, so it runs in Python over Arrow batches."""
 
     def run(batches):

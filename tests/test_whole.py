@@ -55,3 +55,12 @@ def test_numbers_of_all_rows(spark, tmp_path):
     want = ["2024-05-06 1234.50 12%", "", "7"]
     assert [r.numbers for r in queries.extract_numbers(spark, str(tmp_path)).orderBy("turn").collect()] == want
     assert [r.numbers for r in queries.QUERIES["extract_numbers_documents"](spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+
+
+def test_chunks_of_very_long_texts(spark, tmp_path):
+    text = " ".join(f"Sentence number {i} has a few words of its own." for i in range(12000))
+    put(spark, tmp_path, "documents", [(7, text)], "doc_id long, text string")
+    got = queries.chunk_tokens(spark, str(tmp_path)).orderBy("chunk_index").collect()
+    assert len(got) > 200 and got[0].start == 0 and got[-1].end == len(text) and all(a.end >= b.start for a, b in zip(got, got[1:]))
+    merged = queries.merge_adjacent(spark, str(tmp_path)).collect()
+    assert len(merged) == 1 and merged[0].text == text and merged[0].parts > 200

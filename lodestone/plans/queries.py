@@ -138,6 +138,12 @@ def light_stem(spark, d):
     return t.select("token", T.light_stem(F.col("token")).alias("stem"))
 
 
+@query()
+def light_stem_documents(spark, d):
+    t = table(spark, d, "documents").select(F.explode(T.simple_tokens(F.col("text"))).alias("token")).distinct()
+    return t.select("token", T.light_stem(F.col("token")).alias("stem"))
+
+
 @query(f"""WITH w AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM documents),
  df AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term) SELECT term, df, cf, round(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)), 6) AS idf FROM df, n""")
 def tokens_df_idf(spark, d):
@@ -279,7 +285,7 @@ def proximity_bonus(spark, d):
 
 @query()
 def tokenize_full(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.transform(T.full_tokens(F.col("text")), lambda x: x["token"]).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.transform(T.full_tokens(F.col("text")), lambda x: x["token"]).alias("tokens"))
 
 
 # ---- vectors --------------------------------------------------------------

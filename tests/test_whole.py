@@ -64,3 +64,11 @@ def test_chunks_of_very_long_texts(spark, tmp_path):
     assert len(got) > 200 and got[0].start == 0 and got[-1].end == len(text) and all(a.end >= b.start for a, b in zip(got, got[1:]))
     merged = queries.merge_adjacent(spark, str(tmp_path)).collect()
     assert len(merged) == 1 and merged[0].text == text and merged[0].parts > 200
+
+
+def test_stems_and_tokens_of_documents(spark, tmp_path):
+    put(spark, tmp_path, "benchmark", [(1, "word")], "item_id long, text string")
+    put(spark, tmp_path, "documents", [(1, "stories walking walking"), (2, "stories")], "doc_id long, text string")
+    got = {r.token: r.stem for r in queries.QUERIES["light_stem_documents"](spark, str(tmp_path)).collect()}
+    assert got == {"stories": "story", "walking": "walk"}
+    assert {r.doc_id for r in queries.tokenize_full(spark, str(tmp_path)).collect()} == {1, 2}

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,12 +78,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_rows(fn, batches):
-    """fn on slices of Arrow batches, for a bounded working set with long texts."""
+def slices(batch, column: str, most: int):
+    """Runs of rows of an Arrow batch whose text has at most `most` bytes; a row that has more stands alone."""
     import pyarrow as pa
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            out = fn(batch.slice(at, 512))
-            if out is not None:
-                yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

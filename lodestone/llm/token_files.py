@@ -4,9 +4,10 @@ Frequent ids get small ranks, and a rank takes 1 to 4 bytes.  Two control bits
 per rank (its bytes less one) stand apart from the data bytes, so a numpy table
 over control bytes gives all lengths of a block, and four gathers its ranks.
 
-The container is Parquet with one row per block of whole documents, so any store
-that Spark reaches can hold it.  Blocks are in ascending doc_id order; `part` and
-`before` (tokens ahead of the block in its part) give global positions.
+The container is Parquet, so any store that Spark reaches can hold it: `blocks`
+has one row per block of whole documents, in ascending doc_id order, whose `part`
+and `before` (tokens ahead of the block in its part) give global positions;
+`ranks` has the id of each rank, so the files can be read without anything else.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import dropped, reachable, shared_dir, written
-from .tokens import tokenized, unpacked
+from .tokens import byte_lengths, id_type, tokenized, unpacked, vocabulary_path
 
 BLOCK_TOKENS = 1 << 18
 #: Lengths of the four values of each control byte.
@@ -51,17 +52,17 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, path: str) -> DataFrame:
     """(id, n) over all documents, counted in tasks before the shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(1 << 16, np.int64)
+        kind, total = id_type(path), np.zeros(len(byte_lengths(path)), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                ids = np.concatenate([unpacked(x) for x in batch.column("ids").slice(at, 1024).to_pylist()])
-                total += np.bincount(ids, minlength=1 << 16)
+                ids = np.concatenate([unpacked(x, kind) for x in batch.column("ids").slice(at, 1024).to_pylist()])
+                total += np.bincount(ids, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -69,36 +70,42 @@ def id_counts(tokens: DataFrame) -> DataFrame:
 
 
 def rank_table(counts: DataFrame) -> np.ndarray:
-    """Ids by falling count, then id.  At most a vocabulary (65536 ids) comes to the driver."""
+    """Ids by falling count, then id.  A vocabulary at most comes to the driver."""
     rows = counts.collect()
-    return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint16)
+    return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
 BLOCK = "part int, seq long, before long, doc_ids array<long>, lengths array<long>, n long, control binary, data binary"
-
-
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = None) -> np.ndarray:
-    """Write the blocks of all documents to path; gives the rank table, which decoding needs."""
-    tokens = written(tokenized(docs, tokenizer_path))
-    by_rank = rank_table(id_counts(tokens))
-    rank_of = np.zeros(1 << 16, np.uint16)
+BLOCK_FIELDS = [x.split()[0] for x in BLOCK.split(", ")]
+RANKS = "rank long, id long"
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = None) -> None:
+    """Write the ranks, and the blocks of all documents, under path."""
+    vocabulary = tokenizer_path or vocabulary_path()
+    tokens = written(tokenized(docs, vocabulary))
+    by_rank = rank_table(id_counts(tokens, vocabulary))
+    # a row for each id of the vocabulary that occurs
+    spark = docs.sparkSession
+    spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], RANKS).coalesce(1).write.parquet(f"{path}/ranks")
+    rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
 
     def run(batches):
         import pyarrow as pa
 
+        kind = id_type(vocabulary)
         part, before, seq, ids, own, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def block():
-            all_ids = np.concatenate(own)
-            control, data = pack_ranks(rank_of[all_ids])
-            values = [part, seq, before, list(ids), [len(x) for x in own], len(all_ids), control, data]
+            control, data = pack_ranks(rank_of[np.concatenate(own)])
+            values = [part, seq, before, list(ids), [len(x) for x in own], held, control, data]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()])], BLOCK_FIELDS)
 
         for batch in batches:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 ids.append(doc_id)
-                own.append(unpacked(data))
+                own.append(unpacked(data, kind))
                 held += len(own[-1])
                 if held >= BLOCK_TOKENS:
                     yield block()
@@ -107,18 +114,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
             yield block()
 
     ordered = tokens.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, BLOCK).write.parquet(path)
+    ordered.mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
     dropped(tokens)
-    return by_rank
-
-
-BLOCK_FIELDS = [x.split()[0] for x in BLOCK.split(", ")]
 
 
-def read_token_files(spark, path: str, by_rank: np.ndarray, digest) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, and digest(ids) as ids_crc32."""
+def read_token_files(spark, path: str, digest) -> DataFrame:
+    """Per document of the files under path: doc_id, start, n_tokens, and digest(ids) as ids_crc32."""
     reachable(spark)
-    files = spark.read.schema(BLOCK).parquet(path)
+    # a vocabulary at most
+    ranks = spark.read.schema(RANKS).parquet(f"{path}/ranks").collect()
+    by_rank = np.zeros(len(ranks), np.uint32)
+    by_rank[[r["rank"] for r in ranks]] = [r["id"] for r in ranks]
+    files = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     # tokens ahead of each part: as many rows as the writing job had tasks, so it is broadcast
     totals = files.groupBy("part").agg(F.sum("n").alias("n"))
     ahead = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
@@ -152,5 +159,5 @@ def round_trip(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     rows, other columns are ignored.
     """
     path = shared_dir(docs.sparkSession)
-    by_rank = write_token_files(docs, path, tokenizer_path)
-    return read_token_files(docs.sparkSession, path, by_rank, crc32_of)
+    write_token_files(docs, path, tokenizer_path)
+    return read_token_files(docs.sparkSession, path, crc32_of)

@@ -26,34 +26,58 @@ def shard_of(spread: np.ndarray, bits: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = U(0x9E6C63D0876A9A47)
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+#: Bases of two word hashes that know nothing of each other.
+BASES = (0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F)
+#: Bytes that are hashed at once, up to the next white space.
+CHUNK = 1 << 19
 
 
 @lru_cache(maxsize=2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _power_table(base, CHUNK + 1)
+
+
+def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of base and of its inverse modulo 2^64, below the n-th."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[U(1)], np.full(n - 1, U(x))])) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def _hash_chunk(data: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of data, where each starts)."""
+    space = np.append(_SPACE[data], True)
+    before = np.append(True, space[:-1])
+    starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+    up, down = _powers(base) if len(data) <= CHUNK else _power_table(base, len(data) + 1)
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[U(1)], np.full(n, _BASE)])), np.cumprod(np.concatenate([[U(1)], np.full(n, _INVERSE)]))
+        sums = np.append(U(0), np.cumsum((data.astype(np.uint64) + U(1)) * up[: len(data)]))
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words of all texts in order, number of words of each text).
+def hash_bytes(data: bytes, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of a text, where each starts).
 
     A word's hash is a polynomial in its bytes modulo 2^64, mixed; prefix sums
-    over the joined texts give all words at once, with no object for a word.
+    give all words of a chunk at once, with no object for a word.  Chunks end at
+    white space, so a text of any length takes the memory of a chunk and its words.
     """
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[joined]
-    before = np.concatenate([[True], space[:-1]])
-    starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-    size = max(1 << 20, 1 << int(len(joined)).bit_length())
-    up, down = powers(size)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[U(0)], np.cumsum((joined.astype(np.uint64) + U(1)) * up[: len(joined)])])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    edges = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], edges])))
-    return hashes, counts
+    whole, out, at = np.frombuffer(data, np.uint8), [], 0
+    while at < len(whole):
+        end = min(at + CHUNK, len(whole))
+        if end < len(whole):
+            tail = np.flatnonzero(_SPACE[whole[at:end]])
+            if len(tail):
+                end = at + int(tail[-1]) + 1
+            else:  # one word fills the chunk: up to where it ends
+                while end < len(whole) and not _SPACE[whole[end]]:
+                    more = np.flatnonzero(_SPACE[whole[end : end + CHUNK]])
+                    end = end + int(more[0]) if len(more) else min(end + CHUNK, len(whole))
+        h, starts = _hash_chunk(whole[at:end], base)
+        out.append((h, starts + at))
+        at = end
+    if len(out) == 1:
+        return out[0]
+    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

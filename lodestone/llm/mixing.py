@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U, hash_words
+from .hashing import U, hash_bytes
 from .shared import dropped, texts, written
 
 LOWER = bytes(range(256)).lower()
@@ -29,7 +29,7 @@ MOST_EVIDENCE = 20.0
 
 def features(text: bytes) -> np.ndarray:
     """Feature of each word of a text, hashed to FEATURES."""
-    return (hash_words([text.translate(LOWER)])[0] % U(FEATURES)).astype(np.int64)
+    return (hash_bytes(text.translate(LOWER))[0] % U(FEATURES)).astype(np.int64)
 
 
 @dataclass(frozen=True)

@@ -60,13 +60,33 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """All files under a folder of any store; none if there is no such folder."""
+    fs, own = _folder(spark, path)
+    if not fs.exists(own):
+        return []
+    found, out = fs.listFiles(own, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store with all that is in it."""
+    fs, own = _folder(spark, path)
+    fs.delete(own, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove the files of tables that written() made and nobody reads any more."""
     for t in tables:
         for name in t.inputFiles()[:1]:
-            spark = t.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(name.rpartition("/")[0])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(t.sparkSession, name.rpartition("/")[0])
 
 
 def let(value: Column, body) -> Column:

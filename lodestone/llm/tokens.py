@@ -23,7 +23,7 @@ from .shared import slices, texts
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: Bytes of text that are told apart and encoded together; a longer text is a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 #: Bytes of distinct parts that the library encodes as one text.
 JOINED = 1 << 14
 #: Parts whose ids are put together at once.

@@ -1,7 +1,7 @@
 """The stages one after the other, each on what its predecessor kept."""
 
 import corpus_pipeline
-from lodestone.llm import personal_data, simhash, toxicity
+from lodestone.llm import personal_data, simhash
 
 
 def test_stages(spark, rows, docs, labels, tmp_path):
@@ -26,4 +26,3 @@ def test_stages(spark, rows, docs, labels, tmp_path):
     texts = {r.doc_id: r.text for r in kept["simhash_near_dedup"].collect()}
     marks = [simhash.fingerprint_of((t or "").encode(), 3) for t in texts.values()]
     assert len(set(marks)) == len(marks) and not any(personal_data.find_spans(r.text or "")[0]["email"] for r in kept["personal_data"].collect())
-    assert toxicity.GRAMMAR.arcs

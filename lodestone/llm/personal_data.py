@@ -1,9 +1,13 @@
 """Personal-data spans by offset-preserving deobfuscation.
 
-Base patterns run on the source text.  A text with signs of disguise also goes
-through a chain of transducers (homoglyphs, at/dot disguises, spelled digits).
-Every output character carries the source span it came from, so identifiers
-found in the normalised text map back to source code points.  One pass, no shuffle.
+Base patterns run on the source text.  Every text also goes through a chain of
+transducers (homoglyphs, at/dot disguises, spelled digits); each is skipped only
+where a part that all its matches hold is not in the text.  Every output
+character carries the source span it came from, so identifiers found in the
+normalised text map back to source code points.  One pass, no shuffle.
+
+A single spoken "at" before a host with written dots is ordinary prose
+("available at example.com") and no disguise; with a spoken dot it is one.
 """
 
 from __future__ import annotations
@@ -46,26 +50,7 @@ SPOKEN_DOT = re.compile(rf"\s+(?:{_DOT})\s+", re.I)
 _UNIT = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))}|[0-9]+)"
 SPELLED = re.compile(rf"(?<!\w)(?:plus\s+|\+\s*)?{_UNIT}(?:(?:[\s-]+|\s*(?:{_DOT}|\.)\s*){_UNIT}(?!\w)){{3,}}", re.I)
 PART = re.compile(rf"(?P<plus>plus\s+|\+\s*)|(?P<dot>\s*(?:{_DOT}|\.)\s*)|(?P<unit>{_UNIT})|(?P<gap>[\s-]+)", re.I)
-#: Cheap signs that one of the disguises above can be there.
-BRACKETS = re.compile(rf"[(\[{{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[)\]}}>]", re.I)
-SEPARATORS = re.compile(r"[-+.]")
-JOINED = re.compile(r"[^\W\d_][-.][^\W\d_]")
-
-
-def disguised(text: str) -> bool:
-    """Whether a disguise may be there; never false for a text that the transducers would change into an identifier."""
-    if not text.isascii() and ODD.search(text):
-        return True
-    low = text.lower()
-    if any(w in low for w in DOT_WORDS) and SPOKEN_DOT.search(low):
-        return True
-    if any(c in low for c in "([{<") and BRACKETS.search(low):
-        return True
-    words = low.split()
-    # a spelled identifier has three digit words at least, apart or joined by hyphens and dots
-    if sum(map(DIGIT_WORDS.__contains__, words)) >= 3:
-        return SPELLED.search(text) is not None
-    return JOINED.search(low) is not None and sum(p in DIGIT_WORDS for w in words for p in SEPARATORS.split(w)) >= 3
+ENTITY = re.compile(r"(?P<at>&(?:#0*64|#x0*40|commat);)|(?P<dot>&(?:#0*46|#x0*2e|period);)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -155,7 +140,12 @@ def fold_lookalikes(t: Tape) -> Tape:
 
 
 def fold_at_dot(t: Tape) -> Tape:
-    t = t.rewritten([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(t.text)])
+    if "&" in t.text:
+        t = t.rewritten([(m.start(), m.end(), "@" if m["at"] else ".") for m in ENTITY.finditer(t.text)])
+    if any(c in t.text for c in "([{<"):
+        t = t.rewritten([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(t.text)])
+    if not SPOKEN_DOT.search(t.text):
+        return t
     edits = []
     for m in SPOKEN.finditer(t.text):
         edits.append((*m.span("at"), "@"))
@@ -176,10 +166,8 @@ def fold_spelled(t: Tape) -> Tape:
 
 def added_spans(text: str, base: dict) -> dict[str, list[tuple[int, int]]]:
     """Spans of disguised identifiers, apart from all base spans."""
-    if not disguised(text):
-        return {}
-    tape = fold_spelled(fold_at_dot(fold_lookalikes(Tape(text))))
-    if tape.text == text:
+    tape = fold_spelled(fold_at_dot(Tape(text) if text.isascii() else fold_lookalikes(Tape(text))))
+    if tape.text is text:
         return {}
     taken = sorted(s for spans in base.values() for s in spans)
     out: dict[str, list[tuple[int, int]]] = {}

@@ -11,6 +11,7 @@ replayed from the steps so far, so no state is carried and lost tasks can rerun.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from .shared import dropped, texts, written
 
 LOWER = bytes(range(256)).lower()
 FEATURES = 1 << 14
+#: Domains at most: the driver holds FEATURES numbers for each.
+MOST_DOMAINS = 256
 #: Evidence of a document is scaled to at most this many words, as words are not independent.
 MOST_EVIDENCE = 20.0
 
@@ -53,12 +56,16 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, max_rows: int = 20_000)
     """Learn from at most about max_rows labelled rows (doc_id, domain), a sample by hash of the id.
 
     Rows with a null id or domain are not used; an id labelled twice counts with
-    its least domain.  Domains are those of the sample, which should be few.
+    its least domain.  Domains are those of the sample; more than MOST_DOMAINS
+    raise a ValueError, as the driver holds the model.
     """
     own = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     n = own.count()
     if n > max_rows:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    n_domains = own.select("domain").distinct().count()
+    if n_domains > MOST_DOMAINS:
+        raise ValueError(f"{n_domains} domains, {MOST_DOMAINS} at most")
     # max_rows rows give or take sampling noise: a proven bound, so it is broadcast
     sample = texts(docs).join(F.broadcast(own), "doc_id").select("text", "domain")
 
@@ -107,11 +114,11 @@ def matrix(batch) -> np.ndarray:
     return batch.column("p").flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
 
 
-def replayed(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point of the next step) after the accelerated steps (direction, momentum) from rate 1."""
+def replayed(p: np.ndarray, steps: list[tuple[np.ndarray, float]], most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, point of the next step) after the accelerated steps (direction, momentum) from rate 1; rates lie between 0 and most."""
     rate = point = np.ones(len(p))
     for direction, momentum in steps:
-        after = np.maximum(0.0, point - p @ direction)
+        after = np.clip(point - p @ direction, 0.0, most)
         point = after + momentum * (after - rate)
         rate = after
     return rate, point
@@ -119,10 +126,14 @@ def replayed(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.n
 
 @dataclass(frozen=True)
 class Fit:
+    """converged: whether every domain is within the tolerance of its target."""
+
     domains: tuple[str, ...]
     targets: np.ndarray
     reached: np.ndarray
     steps: list
+    most: float = np.inf
+    converged: bool = True
 
 
 def less_poor(domains: tuple[str, ...], share: float = 0.25) -> dict[str, float]:
@@ -130,13 +141,15 @@ def less_poor(domains: tuple[str, ...], share: float = 0.25) -> dict[str, float]
     return {d: share if d.endswith("-poor") else 1.0 for d in domains}
 
 
-def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: dict[str, float] | None = None, rounds: int = 80, tolerance: float = 1e-4) -> Fit:
+def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: dict[str, float] | None = None, rounds: int = 80, tolerance: float = 1e-4, most: float = np.inf) -> Fit:
     """Steps whose replay gives each document's rate.
 
     weights: target share of each domain; by default the shares of the documents
-    times less_poor.  The total is the largest for
-    which no domain needs more tokens than it has.  Gradients are taken in a
-    metric in which a document's step doesn't depend on its length.
+    times less_poor.  The total is the largest for which no domain needs more
+    tokens than it has.  most: the largest rate.  Gradients are taken in a metric
+    in which a document's step doesn't depend on its length.  Where the targets
+    aren't met within tolerance after all rounds, converged is False and a
+    warning says how far off they are.
     """
     k = len(domains)
 
@@ -151,7 +164,7 @@ def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: dict[str, flo
                 if batch.num_rows:
                     p = matrix(batch)
                     t = batch.column("n_tokens").to_numpy().astype(np.float64)
-                    rate, point = replayed(p, steps)
+                    rate, point = replayed(p, steps, most)
                     total[:k] += (rate * t) @ p
                     total[k : 2 * k] += (point * t) @ p
                     if gram:
@@ -186,19 +199,22 @@ def fit_rates(table: DataFrame, domains: tuple[str, ...], weights: dict[str, flo
             theta = 1.0
         if np.abs(reached - targets).max() <= tolerance * targets.sum():
             break
-    return Fit(domains, targets, reached, steps)
+    off = float(np.abs(reached - targets).max() / targets.sum())
+    if off > tolerance:
+        warnings.warn(f"domain totals are off their targets by up to {off:.2g} of all tokens", stacklevel=2)
+    return Fit(domains, targets, reached, steps, most, off <= tolerance)
 
 
 def rated(table: DataFrame, fit: Fit) -> DataFrame:
     """The table of posteriors with each document's rate."""
-    steps = fit.steps
+    steps, most = fit.steps, fit.most
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             p = matrix(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, steps)[0], pa.float64())], [*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, steps, most)[0], pa.float64())], [*batch.schema.names, "rate"])
 
     return table.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in table.schema)}, rate double")
 
@@ -219,20 +235,25 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
 
 
 def keep_by_rate(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of docs, each with a chance of its rate (1 at most), drawn by a hash of its id and text."""
+    """The rows of docs, each with a chance of its rate, drawn by a hash of its id and text.
+
+    Rates are fitted between 0 and 1, so the drawn rows meet the targets in
+    expectation.  Null text is empty; rows that repeat an id and text are kept or
+    dropped together; an empty table stays empty.
+    """
     model = fit_classifier(docs, labelled)
     table = written(posteriors(docs, model))
-    fit = fit_rates(table, model.domains, weights)
+    fit = fit_rates(table, model.domains, weights, most=1.0)
     dropped(table)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    steps = fit.steps
+    steps, most = fit.steps, fit.most
 
     @F.pandas_udf("double")
     def rate(col):
         import pandas as pd
 
         p = np.array([shared.value.posterior((x or "").encode())[0] for x in col]).reshape(len(col), -1)
-        return pd.Series(replayed(p, steps)[0])
+        return pd.Series(replayed(p, steps, most)[0])
 
     chance = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
     return docs.where(chance < rate("text"))

@@ -137,16 +137,16 @@ def fingerprint_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node that links (a, b) reach; nodes without links are not listed.
 
     Each round takes the least root among neighbours and then the root's root,
     so paths halve; every round is a written table, and only its count of
-    changes comes to the driver.
+    changes comes to the driver.  Roots only ever fall, so the rounds end.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         step = roots.join(seen, "node").select("node", F.least("root", "low").alias("low"), "root")
         jump = roots.select(F.col("node").alias("low"), F.col("root").alias("over"))
@@ -157,7 +157,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not moved:
             dropped(both)
             return roots
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, crowd: int = CROWD) -> DataFrame:

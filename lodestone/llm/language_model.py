@@ -29,14 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BITS_EACH, Filter, U, bloom_add, members_of, merged, mix, packed, shard_of, unpacked
-from .shared import texts, written
+from .shared import slices, texts, written
 
 LOWER = bytes(range(256)).lower()
 #: The end of a document; no word holds a space.
 END_WORD = b" end"
 DISCOUNT = 0.75
 #: Tokens that a task gathers before it merges equal ones and passes them on.
-FLUSH = 4_000_000
+FLUSH = 1_500_000
+#: Bytes of text that are split into words at once.
+SLICE_BYTES = 4 << 20
 #: Characters of text for each shard, about.
 SHARD_CHARS = 3_000_000
 
@@ -105,12 +107,11 @@ def blocks_of(docs: DataFrame, train: Column | None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["block", "n_bytes", "doc_ids", "learned", "sizes", "words", "tokens"])
 
         for batch in batches:
-            column = batch.column("text").cast(pa.binary())
-            for at in range(0, len(column), 2048):
-                part = column.slice(at, 2048).to_pylist()
+            for rows in slices(batch, "text", SLICE_BYTES):
+                part = rows.column("text").cast(pa.binary()).to_pylist()
                 parts.append(hashed(part))
-                ids.extend(batch.column("doc_id").slice(at, 2048).to_pylist())
-                learned.append(batch.column("learned").slice(at, 2048).to_numpy(zero_copy_only=False).astype(np.uint8))
+                ids.extend(rows.column("doc_id").to_pylist())
+                learned.append(rows.column("learned").to_numpy(zero_copy_only=False).astype(np.uint8))
                 n_bytes += sum(map(len, part))
                 size += len(parts[-1][1])
                 if size >= FLUSH:

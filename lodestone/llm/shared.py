@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -39,14 +40,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share.
 
-    It lies in spark.checkpoint.dir.  Only where the session names none (local
-    runs and tests) a temporary folder is set.
+    It lies in spark.checkpoint.dir.  Where the session names none a local run
+    gets a temporary folder; a cluster, whose machines share none, an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = own.get() if own.isDefined() else ""
         if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import os
+from pathlib import Path
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship() -> None:
+    """Let Python workers import this package wherever the driver was started."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row.
 

@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, ship
 
 CJK = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]"
 
@@ -195,6 +195,8 @@ def tokenize(text: str) -> list[str]:
 def full_tokens(text: Column) -> Column:
     """array<struct<token, pos>> by the full tokenizer; Unicode decomposition needs Python, so Arrow batches."""
 
+    ship()
+
     @F.pandas_udf("array<struct<token:string,pos:int>>")
     def run(col):
         return col.map(lambda x: [{"token": t, "pos": p} for t, p in tokenize_positions(x)])

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import ship
+
 
 @dataclass(frozen=True)
 class Bm25Options:
@@ -47,25 +49,32 @@ def document_frequency(posts: DataFrame, n_docs: Column) -> DataFrame:
     return df.withColumn("idf", F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def scores(queries: DataFrame, posts: DataFrame, lengths: DataFrame, n_docs: int, opts: Bm25Options = Bm25Options()) -> DataFrame:
+def scores(queries: DataFrame, posts: DataFrame, lengths: DataFrame | None, n_docs: int, opts: Bm25Options = Bm25Options(), averages: dict[str, float] | None = None) -> DataFrame:
     """(query_id, doc_id, score, present) for queries (query_id, term).
 
     n_docs: all documents, those without a field included in its average length.
+    lengths (doc_id, field, len) may be None if posts carry len and averages
+    gives each field's mean.  With opts.proximity posts carry positions, and queries of two terms or more
+    get the bonus.
     """
     weights = F.create_map(*[F.lit(x) for kv in opts.weights.items() for x in kv]) if opts.weights else None
     weight = F.coalesce(F.element_at(weights, F.col("field")), F.lit(1.0)) if weights is not None else F.lit(1.0)
-    average = lengths.groupBy("field").agg((F.sum("len") / float(max(n_docs, 1))).alias("avg_len"))
+    if lengths is not None:
+        average = lengths.groupBy("field").agg((F.sum("len") / float(max(n_docs, 1))).alias("avg_len"))
+    else:
+        average = posts.sparkSession.createDataFrame(list(averages.items()), "field string, avg_len double")
     wanted = queries.select("query_id", "term").distinct()
     asked = wanted.groupBy("query_id").agg(F.count("*").alias("asked"))
     hit = posts.join(wanted.select("term").distinct(), "term", "left_semi")
     idf = document_frequency(hit, F.lit(float(n_docs)))
     # F of a term: field frequencies, normalised by length and weighted
     b = opts.b
-    tf = hit.join(lengths, ["doc_id", "field"]).join(F.broadcast(average), "field")  # one row for each field
+    sized = hit if lengths is None else hit.join(lengths, ["doc_id", "field"])
+    tf = sized.join(F.broadcast(average), "field")  # one row for each field
     per_term = tf.groupBy("term", "doc_id").agg(F.sum(weight * F.col("tf") / (1.0 - b + b * F.col("len") / F.col("avg_len"))).alias("f"), F.sum("tf").alias("n")).where("f > 0")
     cand = wanted.join(per_term, "term").join(idf, "term").join(asked, "query_id")
     if opts.variant == "bmx":
-        body = lengths.where("field = 'body'").agg((F.sum("len") / float(max(n_docs, 1))).alias("avg_body"))
+        body = average.where("field = 'body'").select(F.col("avg_len").alias("avg_body"))
         alpha = F.least(F.lit(1.5), F.greatest(F.lit(0.5), F.col("avg_body") / 100.0))
         p = 1.0 / (1.0 + F.exp(-F.col("n")))
         entropy = hit.groupBy("term", "doc_id").agg(F.sum("tf").alias("n")).groupBy("term").agg(F.sum(-p * F.log(p)).alias("raw"))
@@ -85,6 +94,10 @@ def scores(queries: DataFrame, posts: DataFrame, lengths: DataFrame, n_docs: int
         got = cand.groupBy("query_id", "doc_id").agg(F.sum(part).alias("s"), F.count("*").alias("present"), F.first("asked").alias("asked"))
         share = F.col("present") / F.col("asked")
         score = F.col("s") + opts.coverage * share * F.col("present")
+    if opts.proximity:
+        near = proximity(queries, hit, n_docs, opts.proximity).select("query_id", "doc_id", "bonus")
+        got = got.join(near, ["query_id", "doc_id"], "left")
+        score = score + F.coalesce("bonus", F.lit(0.0))
     return got.select("query_id", "doc_id", score.alias("score"), "present")
 
 
@@ -135,8 +148,26 @@ def proximity(queries: DataFrame, posts: DataFrame, n_docs: int, weight: float =
     hit = queries.select("query_id", "term").distinct().join(posts.where("field = 'body'"), "term").join(idf, "term")
     rows = hit.groupBy("query_id", "doc_id").agg(F.collect_list("positions").alias("lists"), F.count("*").alias("present"), F.sum("idf").alias("idf")).where("present >= 2")
 
+    ship()
+
     @F.pandas_udf("int")
     def span(col: pd.Series) -> pd.Series:
         return col.map(lambda x: min_span([list(y) for y in x]))
 
     return rows.withColumn("span", span("lists")).where("span > 0").select("query_id", "doc_id", (weight * F.col("present") / F.col("span") * F.col("idf")).alias("bonus"), "span")
+
+
+def without(posts: DataFrame, removed: DataFrame) -> DataFrame:
+    """Postings (or lengths) of an index from which documents (doc_id) were removed; statistics follow from what is left."""
+    return posts.join(removed.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def fields_of(chunks: DataFrame, tokens) -> DataFrame:
+    """chunks (doc_id, title, breadcrumb, text, lead, chunk_index) -> terms by field: title, the rest of the breadcrumb, body, and the page's lead for later chunks."""
+    rest = F.trim(F.when(F.col("breadcrumb").startswith(F.col("title")), F.substring("breadcrumb", F.length("title") + 1, F.length("breadcrumb"))).otherwise(F.col("breadcrumb")))
+    texts = {"title": F.col("title"), "breadcrumb": rest, "body": F.col("text"), "lead": F.when(F.col("chunk_index") > 0, F.col("lead"))}
+    out = None
+    for name, column in texts.items():
+        own = terms_of(chunks, "doc_id", tokens(F.coalesce(column, F.lit(""))), name)
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from ..functions.common import ship
+
 HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 FENCE = re.compile(r"^\s*(```|~~~)")
 WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -104,6 +106,8 @@ SCHEMA = "doc_id long, chunk_index int, start int, end int, breadcrumb string, t
 def chunk_documents(docs: DataFrame, size: int = 480, overlap: int = 60, min_chars: int = 100, most: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> chunks; the greedy cut is sequential, so it runs in Python over Arrow batches."""
 
+    ship()
+
     def run(batches):
         import pandas as pd
 

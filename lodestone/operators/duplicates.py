@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import let
+from ..functions.common import let, ship
 from ..functions.text import content_hash, shingles, simple_tokens
 
 
@@ -121,6 +121,8 @@ def trigram_scores(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataF
 
     rows = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").select("a", "b", "ta", "tb")
 
+    ship()
+
     def run(batches):
         import pyarrow as pa
 

@@ -1,4 +1,8 @@
-"""Highlights, query expansion, evidence and quote verification."""
+"""Segments, highlights, evidence levels, feedback terms and quote verification.
+
+Python only cuts and tokenizes text, in Arrow batches; windows over segments,
+coverage, candidate sources and verdicts are relational.
+"""
 
 from __future__ import annotations
 
@@ -6,71 +10,75 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, tokenize
-
-CITE = re.compile(r"\[(\d{1,3}(?:\s*[,;]\s*\d{1,3})*)\]")
-NUMBER = re.compile(r"\b\d{4}-\d{2}-\d{2}\b|\b\d[\d,]*(?:\.\d+)?%?")
-BREAK = re.compile(r"[.!?][\"')\]]?\s+(?=[A-Z0-9\"'(\[])")
-ABBREVIATION = re.compile(r"\b(?:e\.g|i\.e|etc|vs|cf|Dr|Mr|Mrs|Ms|St|No|Fig|approx|al)\.$", re.I)
-LINE = re.compile(r"^\s*(?:#{1,6}\s|[-*+]\s|\d+[.)]\s|>)")
+from ..functions.common import let, ship
+from ..functions.text import STOP_WORDS, extract_numbers, tokenize
+
+# Forms of citations, of lines that stand alone, of sentence ends, and abbreviations that end none.
+CITATION = "\\[([0-9]{1,3}(?:[ \\t]*[,;][ \\t]*[0-9]{1,3})*)\\]"
+MARKED_LINE = r"[ \t]*(?:\#{1,6}[ \t]|[-*+][ \t]|[0-9]+[.)][ \t]|>)"
+SENTENCE_END = re.compile(r"[.!?][\"')\]]?(?=\s+[A-Z0-9\"'(\[])")
+ABBREVIATION = re.compile(r"(?i)\b(?:e\.g|i\.e|etc|vs|cf|dr|mr|mrs|ms|st|no|fig|approx|al)\.\Z")
+LEAST_SENTENCE = 15
+
+#: One alternative for each kind of segment; what none takes is blank.
+GRAMMAR = re.compile(
+    rf"""
+    ^(?P<block> [ \t]*(?P<fence>```|~~~)[^\n]*(?:\n(?!\s*(?P=fence))[^\n]*)*(?:\n[^\n]*)?  # to the closing fence, or the end
+             |  [ \t]*\|[^\n]*(?:\n[ \t]*\|[^\n]*)* )$
+    |^(?P<line> {MARKED_LINE}[^\n]* )$
+    |^(?P<prose> [^\n]*\S[^\n]* )$
+    """,
+    re.M | re.X,
+)
+
+
+def sentence_ends(prose: str) -> list[int]:
+    """Where the sentences of a line of prose end: at marks that no abbreviation owns, none shorter than LEAST_SENTENCE."""
+    ends, begin = [], 0
+    for end in (m.end() for m in SENTENCE_END.finditer(prose)):
+        if not ABBREVIATION.search(prose, max(0, end - 12), end) and len(prose[begin:end].strip()) >= LEAST_SENTENCE:
+            ends.append(end)
+            begin = end
+    return [*ends, len(prose)] if prose[begin:].strip() else ends
 
 
 def segments(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of sentences, whole lines and blocks (fenced code, tables)."""
-    out: list[tuple[int, int, str]] = []
-    lines, starts, at = text.split("\n"), [], 0
-    for line in lines:
-        starts.append(at)
-        at += len(line) + 1
-    i = 0
-    while i < len(lines):
-        line, s = lines[i], starts[i]
-        j = i
-        fence = re.match(r"\s*(```|~~~)", line)
-        if fence:
-            j = next((k for k in range(i + 1, len(lines)) if lines[k].strip().startswith(fence[1])), len(lines) - 1)
-        elif line.lstrip().startswith("|"):
-            while j + 1 < len(lines) and lines[j + 1].lstrip().startswith("|"):
-                j += 1
-        if fence or line.lstrip().startswith("|"):
-            out.append((s, starts[j] + len(lines[j]), "block"))
-        elif line.strip():
-            out += [(s, s + len(line), "line")] if LINE.match(line) else [(s + a, s + b, "sentence") for a, b in sentences(line)]
-        i = j + 1
-    return out
-
-
-def sentences(line: str) -> list[tuple[int, int]]:
-    out, begin = [], 0
-    for m in BREAK.finditer(line):
-        end = m.start() + len(m[0].rstrip())
-        piece = line[begin:end]
-        if not ABBREVIATION.search(piece) and len(piece.strip()) >= 15:
-            out.append((begin, end))
-            begin = m.end()
-    if line[begin:].strip():
-        out.append((begin, len(line)))
+    """(start, end, kind) of blocks (fenced code, tables), marked lines and sentences, without white space around sentences."""
+    out = []
+    for m in GRAMMAR.finditer(text):
+        if m.lastgroup != "prose":
+            out.append((m.start(), m.end(), "block" if m["block"] is not None else "line"))
+            continue
+        begin = 0
+        for end in sentence_ends(m[0]):
+            piece = m[0][begin:end]
+            out.append((m.start() + end - len(piece.lstrip()), m.start() + begin + len(piece.rstrip()), "sentence"))
+            begin = end
     return out
 
 
 def match_form(text: str) -> str:
     """Lower case, no marks, citations, link targets or punctuation but decimal points."""
-    t = re.sub(r"\]\([^)]*\)", "]", CITE.sub(" ", text)).lower()
+    t = re.sub(r"\]\([^)]*\)", "]", re.sub(CITATION, " ", text)).lower()
     t = "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ")
     t = re.sub(r"[^\w\s%.]|_", " ", t)
     return " ".join(re.sub(r"(?<!\d)\.|\.(?!\d)", " ", t).split())
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence; one integer holds a row of the table, a bit for each word of b."""
+    where: dict[str, int] = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    row = whole
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(b) - row.bit_count()
 
 
 def rouge_l(a: list[str], b: list[str]) -> float:
@@ -78,101 +86,165 @@ def rouge_l(a: list[str], b: list[str]) -> float:
     return 0.0 if not n else 2 * n / (len(a) + len(b))
 
 
-def numbers(text: str) -> list[str]:
-    return list(dict.fromkeys(m[0].replace(",", "") for m in NUMBER.finditer(text)))
-
-
-def _grams(w: list[str], n: int = 3) -> set:
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-
-
-def support(sentence: str, source: str, jaccard: float = 0.6, rouge: float = 0.7) -> tuple[str, float]:
-    """(status, score): verbatim, paraphrase or unsupported."""
-    s, whole = match_form(sentence), match_form(source)
-    w = s.split()
-    if not w or not whole:
-        return "unsupported", 0.0
-    if len(w) >= 3 and s in whole:
-        return "verbatim", 1.0
-    parts = [match_form(source[a:b]).split() for a, b, _ in segments(source)]
-    own, best, hit = _grams(w), 0.0, False
-    for i in range(len(parts)):
-        for span in (1, 2):
-            if i + span > len(parts):
-                continue
-            window = [x for p in parts[i : i + span] for x in p]
-            if not window:
-                continue
-            g = _grams(window)
-            j = len(own & g) / len(own | g) if own and g else 0.0
-            r = rouge_l(w, window)
-            hit |= j >= jaccard or r >= rouge
-            best = max(best, j, r)
-    return ("paraphrase" if hit else "unsupported"), round(best, 3)
-
-
-def verify_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """answers (answer_id, text), sources (answer_id, index, text) -> one row for each sentence.
-
-    Cited sentences are held against the sources they name; a sentence without
-    citation against all sources of its answer, and keeps the status uncited.
+def segment_column(text: Column) -> Column:
+    """array<struct<start, end, kind, text, terms, words>>: terms by the tokenizer, words in match form."""
+    ship()
+
+    @F.pandas_udf("array<struct<start:int,end:int,kind:string,text:string,terms:array<string>,words:array<string>>>")
+    def run(col: pd.Series) -> pd.Series:
+        return col.map(lambda t: [{"start": a, "end": b, "kind": k, "text": t[a:b], "terms": list(dict.fromkeys(tokenize(t[a:b]))), "words": match_form(t[a:b]).split()} for a, b, k in segments(t)] if t else [])
+
+    return run(text)
+
+
+def sentence_split(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): one row for each segment (doc_id, position, start, end, kind, text)."""
+    rows = docs.select("doc_id", F.posexplode(segment_column(F.col("text"))).alias("position", "s"))
+    return rows.select("doc_id", "position", "s.start", "s.end", "s.kind", "s.text")
+
+
+# ---- highlights -----------------------------------------------------------
+
+
+def windows(segs: Column, most: int = 3, max_chars: int = 600) -> Column:
+    """Runs (first, last) of one to `most` neighbours of an array of segments; blocks stand alone, longer runs keep within max_chars."""
+
+    def fits(r: Column) -> Column:
+        inner = F.slice(segs, r["first"], r["last"] - r["first"] + 1)
+        length = F.element_at(segs, r["last"])["end"] - F.element_at(segs, r["first"])["start"]
+        return (r["first"] == r["last"]) | (~F.exists(inner, lambda s: s["kind"] == "block") & (length <= max_chars))
+
+    n = F.size(segs)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(i + (most - 1), n)), lambda j: F.struct(i.alias("first"), j.alias("last")))))
+    return F.when(n > 0, F.filter(runs, fits)).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
+
+
+def ranked_windows(segs: Column, weights: Column, max_chars: int = 600) -> Column:
+    """array<struct<score, less, begin, start, end, coverage>>, best first; weights: array<struct<term, weight>>.
+
+    The score is the weight of the terms that a window holds, as a share, plus up
+    to .1 for a length that reads as evidence, less .02 for each further segment,
+    .15 for headings alone and .1 for a single segment that is too long.
     """
+    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w["weight"])
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        texts = dict(zip(b["index"], b["text"]))
-        rows = []
-        for text in a["text"]:
-            for k, (s, e, kind) in enumerate(x for x in segments(text or "") if x[2] != "block"):
-                sentence = text[s:e].strip()
-                cited = [int(n) for m in CITE.finditer(sentence) for n in re.split(r"\s*[,;]\s*", m[1])]
-                pool = {i: texts[i] for i in (cited or texts) if i in texts}
-                found = sorted(((*support(sentence, t), i) for i, t in pool.items()), key=lambda x: ({"verbatim": 0, "paraphrase": 1, "unsupported": 2}[x[0]], -x[1], x[2]))
-                status, score, best = found[0] if found else ("unsupported", 0.0, None)
-                seen = {n for t in pool.values() for n in numbers(t)}
-                rows.append({"answer_id": key[0], "position": k, "sentence": sentence, "citations": cited, "status": status if cited else "uncited", "best_index": best if score > 0 else None, "score": score, "unsupported_numbers": [n for n in numbers(CITE.sub(" ", sentence)) if n not in seen], "unknown": [n for n in cited if n not in texts]})
-        return pd.DataFrame(rows, columns=["answer_id", "position", "sentence", "citations", "status", "best_index", "score", "unsupported_numbers", "unknown"])
-
-    kind = dict(answers.dtypes)["answer_id"]
-    schema = f"answer_id {kind}, position int, sentence string, citations array<int>, status string, best_index int, score double, unsupported_numbers array<string>, unknown array<int>"
-    return answers.groupBy("answer_id").cogroup(sources.groupBy("answer_id")).applyInPandas(run, schema)
+    def scored(r: Column) -> Column:
+        inner = F.slice(segs, r["first"], r["last"] - r["first"] + 1)
+        start, end = F.element_at(segs, r["first"])["start"], F.element_at(segs, r["last"])["end"]
+        terms = F.flatten(F.transform(inner, lambda s: s["terms"]))
+        share = F.aggregate(F.filter(weights, lambda w: F.array_contains(terms, w["term"])), F.lit(0.0), lambda s, w: s + w["weight"]) / F.when(total > 0, total).otherwise(1.0)
+        score = share + 0.1 * F.least(F.lit(1.0), (end - start) / 200.0) - 0.02 * (r["last"] - r["first"])
+        score = score - F.when(F.forall(inner, lambda s: s["text"].rlike("^[ \\t]*#{1,6}[ \\t]")), 0.15).otherwise(0.0) - F.when(end - start > max_chars, 0.1).otherwise(0.0)
+        return F.struct(score.alias("score"), (start - end).alias("less"), (-start).alias("begin"), start.alias("start"), end.alias("end"), share.alias("coverage"))
 
+    return F.sort_array(F.transform(windows(segs, max_chars=max_chars), scored), asc=False)
 
-def verify_summary(checked: DataFrame) -> DataFrame:
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("verbatim", "paraphrase", "unsupported", "uncited")]
-    rate = F.round(F.count_if(F.col("status").isin("verbatim", "paraphrase")) / F.count("*"), 3)
-    return checked.groupBy("answer_id").agg(F.count("*").alias("total"), *counts, rate.alias("support_rate"))
+
+def lead_window(segs: Column, most: int = 3, max_chars: int = 600) -> Column:
+    """The opening window: as many of the first segments as fit; without score or coverage."""
+    best = F.array_max(F.transform(F.filter(windows(segs, most, max_chars), lambda r: r["first"] == 1), lambda r: r["last"]))
+    start, end = segs[0]["start"], F.element_at(segs, best)["end"]
+    return F.when(F.size(segs) > 0, F.struct(F.lit(0.0).alias("score"), (start - end).alias("less"), (-start).alias("begin"), start.alias("start"), end.alias("end"), F.lit(0.0).alias("coverage")))
+
+
+def attach_highlights(passages: DataFrame, terms: DataFrame) -> DataFrame:
+    """passages (query_id, text, ...) with highlight (start, end, score, text); terms (query_id, term, weight).
+
+    The best window of the query's terms; the lead window where none occurs.
+    Offsets are those of the trimmed window.  Passages without text have null.
+    """
+    own = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("_w"))
+    rows = passages.join(own, "query_id", "left").withColumn("_s", segment_column(F.col("text")))
+    rows = rows.withColumn("_w", F.coalesce("_w", F.array().cast("array<struct<term:string,weight:double>>")))
+    rows = rows.withColumn("_best", ranked_windows(F.col("_s"), F.col("_w")))
+    best = F.when((F.size("_best") > 0) & (F.col("_best")[0]["coverage"] > 0), F.col("_best")[0]).otherwise(lead_window(F.col("_s")))
+    rows = rows.withColumn("_h", best)
+    raw = F.substring("text", F.col("_h.start") + 1, F.col("_h.end") - F.col("_h.start"))
+    lead = F.length(raw) - F.length(F.ltrim(raw))
+    mark = F.struct((F.col("_h.start") + lead).alias("start"), (F.col("_h.start") + lead + F.length(F.trim(raw))).alias("end"), F.col("_h.score").alias("score"), F.trim(raw).alias("text"))
+    return rows.withColumn("highlight", F.when(F.col("_h").isNotNull(), mark)).drop("_w", "_s", "_best", "_h")
+
+
+# ---- verification ---------------------------------------------------------
 
 
-def highlight_windows(text: str, weights: dict[str, float], top: int = 3) -> list[tuple[int, int, float]]:
-    """Best runs of one to three segments, at most 600 characters, by covered term weight."""
-    segs = segments(text)
-    total = sum(weights.values()) or 1.0
-    found = []
-    for i in range(len(segs)):
-        for n in (1, 2, 3):
-            run = segs[i : i + n]
-            if len(run) < n or n > 1 and any(k == "block" for _, _, k in run):
-                break
-            s, e = run[0][0], run[-1][1]
-            have = set(tokenize(text[s:e]))
-            score = sum(w for t, w in weights.items() if t in have) / total + 0.1 * min(1, (e - s) / 200) - 0.02 * (n - 1)
-            score -= 0.15 * all(text[a:b].lstrip().startswith("#") for a, b, _ in run) + 0.1 * (e - s > 600)
-            found.append((s, e, score))
-    return sorted(found, key=lambda x: (-x[2], x[1] - x[0], x[0]))[:top]
+def citations_of(sentence: Column) -> Column:
+    """Distinct numbers in square brackets, in order."""
+    marks = F.regexp_extract_all(sentence, F.lit(CITATION), F.lit(1))
+    return F.array_distinct(F.transform(F.flatten(F.transform(marks, lambda m: F.split(m, "[ \\t]*[,;][ \\t]*"))), lambda n: n.cast("int")))
 
 
-def attach_highlights(passages: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
-    """passages (query, text, ...) with the best window as highlight (start, end, score)."""
+def without_citations(text: Column) -> Column:
+    return F.regexp_replace(text, CITATION, " ")
 
-    @F.pandas_udf("struct<start:int,end:int,score:double>")
-    def best(query: pd.Series, text: pd.Series) -> pd.DataFrame:
-        rows = []
-        for q, t in zip(query, text):
-            w = highlight_windows(t or "", {x: max(0.5, (idf or {}).get(x, 1.0)) for x in tokenize(q or "")}, 1)
-            rows.append(w[0] if w else (0, 0, 0.0))
-        return pd.DataFrame(rows, columns=["start", "end", "score"])
 
-    return passages.withColumn("highlight", best("query", "text"))
+def word_runs(words: Column, n: int = 3) -> Column:
+    """Distinct runs of n words; none of fewer words."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def closeness(words: Column, segs: Column) -> Column:
+    """struct<jaccard, rouge>: the largest of each over all windows of one or two neighbouring segments of a source."""
+    ship()
+
+    @F.pandas_udf("array<double>")
+    def rouges(own: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([[rouge_l(list(w), list(p)) for p in ps] for w, ps in zip(own, parts)])
+
+    pairs = F.transform(segs, lambda s, i: F.concat(s["words"], F.coalesce(F.get(segs, i + 1)["words"], F.array().cast("array<string>"))))
+    parts = F.filter(F.concat(F.transform(segs, lambda s: s["words"]), pairs), lambda w: F.size(w) > 0)
+
+    def jaccard(p: Column) -> Column:
+        return let(F.size(F.array_intersect(word_runs(words), word_runs(p))), lambda c: F.when(c > 0, c / (F.size(word_runs(words)) + F.size(word_runs(p)) - c)).otherwise(0.0))
+
+    best = F.array_max(F.transform(parts, jaccard))
+    return F.struct(F.coalesce(best, F.lit(0.0)).alias("jaccard"), F.coalesce(F.array_max(rouges(words, parts)), F.lit(0.0)).alias("rouge"))
+
+
+def verify_answers(answers: DataFrame, sources: DataFrame, jaccard: float = 0.6, rouge: float = 0.7) -> DataFrame:
+    """answers (answer_id, text), sources (answer_id, index, text[, page_text]) -> one row for each segment of three words or more.
+
+    A segment with citations is held against the sources they name, one without
+    against all sources of its answer.  verbatim: its words stand in the source;
+    paraphrase: near enough to one or two of its segments; else unsupported, or
+    uncited where it cites nothing.  Numbers must stand in some source held
+    against it.  Null texts have no segments.
+    """
+    cut = answers.select("answer_id", F.posexplode(segment_column(F.col("text"))).alias("position", "s")).where(F.size("s.words") >= 3)
+    sentences = cut.select("answer_id", "position", F.trim("s.text").alias("sentence"), F.col("s.words").alias("words")).withColumn("citations", citations_of(F.col("sentence")))
+    page = F.col("page_text") if "page_text" in sources.columns else F.lit(None).cast("string")
+    texts = sources.select("answer_id", "index", F.posexplode(F.array("text", page)).alias("part", "source")).where("source is not null")
+    texts = texts.withColumn("segs", segment_column(F.col("source"))).withColumn("whole", F.array_join(F.flatten(F.transform("segs", lambda s: s["words"])), " "))
+    wanted = sentences.select("answer_id", "position", "words", F.posexplode_outer(F.when(F.size("citations") > 0, F.col("citations"))).alias("at", "cited"))
+    both = wanted.join(texts, "answer_id").where(F.col("cited").isNull() | (F.col("cited") == F.col("index")))
+    exact = F.concat(F.lit(" "), "whole", F.lit(" ")).contains(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    both = both.withColumn("verbatim", exact).withColumn("near", F.when(~F.col("verbatim"), closeness(F.col("words"), F.col("segs"))))
+    score = F.when(F.col("verbatim"), 1.0).otherwise(F.round(F.greatest("near.jaccard", "near.rouge"), 3))
+    hit = F.col("verbatim") | (F.col("near.jaccard") >= jaccard) | (F.col("near.rouge") >= rouge)
+    order = F.struct(F.col("verbatim"), score.alias("score"), (-F.coalesce("at", F.col("index"))).alias("first"), (-F.col("part")).alias("own"))
+    blob = F.regexp_replace(F.array_join(F.collect_list("source"), "\n"), ",(?=[0-9]{3}\\b)", "")
+    status = F.when(F.col("verbatim"), "verbatim").when(hit, "paraphrase").otherwise("unsupported")
+    best = both.groupBy("answer_id", "position").agg(F.max_by(F.struct("index", score.alias("score"), status.alias("status")), order).alias("best"), blob.alias("blob"))
+    known = sources.groupBy("answer_id").agg(F.collect_set("index").alias("known"))
+    rows = sentences.join(best, ["answer_id", "position"], "left").join(known, "answer_id", "left")
+    found = F.coalesce("best.status", F.lit("unsupported"))
+    numbers = F.filter(extract_numbers(without_citations(F.col("sentence"))), lambda n: ~F.coalesce(F.contains(F.col("blob"), n), F.lit(False)))
+    return rows.select(
+        "answer_id", F.col("position").cast("int").alias("position"), "sentence", "citations",
+        F.when((F.size("citations") == 0) & (found == "unsupported"), "uncited").otherwise(found).alias("status"),
+        F.when(F.col("best.score") > 0, F.col("best.index")).alias("best_index"), F.coalesce("best.score", F.lit(0.0)).alias("score"),
+        numbers.alias("unsupported_numbers"), F.array_except("citations", F.coalesce("known", F.array().cast("array<int>"))).alias("unknown"),
+    )
+
+
+def verify_summary(checked: DataFrame) -> DataFrame:
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("verbatim", "paraphrase", "unsupported", "uncited")]
+    rate = F.round(F.count_if(F.col("status").isin("verbatim", "paraphrase")) / F.count("*"), 3)
+    return checked.groupBy("answer_id").agg(F.count("*").alias("total"), *counts, rate.alias("support_rate"))
+
+
+# ---- feedback terms, entities, expansion, levels --------------------------
 
 
 def prf_terms(tokens: DataFrame, exclude: DataFrame, k: int = 4) -> DataFrame:
@@ -185,20 +257,32 @@ def prf_terms(tokens: DataFrame, exclude: DataFrame, k: int = 4) -> DataFrame:
     return stats.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+# Names, code identifiers, first words that make no name, endings of hosts and files.
+NAME = "\\b[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})+\\b"
+IDENTIFIER = "\\b[A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)+\\b|\\b[a-z]+[A-Z][A-Za-z]+\\b|\\b[a-z]+_[a-z_]+\\b"
+NO_NAME = "^(?:The|This|That|These|Those|When|Where|What|Which|How|Why|Note|See|For|From|With|Also)\\b"
+HOST_LIKE = "(?i)\\.(?:org|com|net|edu|gov|io|html?|md)$|^www\\."
+
+
 def bridge_entities(texts: DataFrame, least: int = 2) -> DataFrame:
-    """texts (query_id, text): capitalised names of two words or more that occur least times."""
-    names = F.regexp_extract_all("text", F.lit("\\b[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})+\\b"), F.lit(0))
-    rows = texts.select("query_id", F.explode(names).alias("entity")).where(F.length("entity").between(4, 60))
-    return rows.groupBy("query_id", "entity").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """texts (query_id, text[, query]): names that occur least times, and code identifiers; not those that the query holds."""
+    query = F.lower(F.coalesce("query", F.lit(""))) if "query" in texts.columns else F.lit("")
+
+    def of(pattern: str, kind: str) -> DataFrame:
+        return texts.select("query_id", query.alias("_q"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("entity"), F.lit(kind).alias("kind"))
+
+    rows = of(NAME, "name").unionByName(of(IDENTIFIER, "code")).where(F.length("entity").between(4, 60) & ~F.col("entity").rlike(NO_NAME) & ~F.col("entity").rlike(HOST_LIKE))
+    rows = rows.where(~F.contains("_q", F.lower("entity")))
+    return rows.groupBy("query_id", "entity").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where((F.col("n") >= least) | (F.col("kind") == "code"))
 
 
 def expand_query(query: str, snippets: list[str], titles: list[str], most: int = 4) -> list[str]:
     """Keyword form, query with feedback terms, best overlapping title; different by letters and digits."""
     words = [w for w in re.findall(r"[\w.-]+", query.lower()) if w not in STOP_WORDS]
-    counts: dict[str, int] = {}
+    own, counts = set(tokenize(query)), {}
     for s in snippets[:5]:
         for t in tokenize(s):
-            if t not in tokenize(query) and not t.isdigit():
+            if t not in own and not t.isdigit():
                 counts[t] = counts.get(t, 0) + 1
     feedback = sorted(counts, key=lambda t: (-counts[t], t))[:4]
     out = [" ".join(words)]
@@ -206,21 +290,40 @@ def expand_query(query: str, snippets: list[str], titles: list[str], most: int =
         out.append(f"{query} {' '.join(feedback)}")
     for title in titles[:1]:
         t = re.split(r" [|–—-] ", title)[0]
-        if len(t) <= 80 and len(tokenize(t)) >= 3 and set(tokenize(t)) & set(tokenize(query)):
+        if len(t) <= 80 and len(tokenize(t)) >= 3 and set(tokenize(t)) & own:
             out.append(t)
-    seen, kept = {re.sub(r"\W", "", query.lower())}, []
+    key = lambda x: re.sub(r"[\W_]", "", x.lower())
+    kept = {key(query): None}
     for o in out:
-        key = re.sub(r"\W", "", o.lower())
-        if key and key not in seen:
-            seen.add(key)
-            kept.append(o)
-    return kept[:most]
+        if key(o):
+            kept.setdefault(key(o), o)
+    return [o for o in kept.values() if o][:most]
+
+
+def expand_queries(queries: DataFrame, results: DataFrame, most: int = 4) -> DataFrame:
+    """queries (query_id, query), results (query_id, rank, title, snippet) -> (query_id, position, expansion), from the first five results."""
+    ship()
+    w = Window.partitionBy("query_id").orderBy("rank", "title")
+    top = results.withColumn("_n", F.row_number().over(w)).where("_n <= 5").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_n", F.coalesce("title", F.lit("")).alias("t"), F.coalesce("snippet", F.lit("")).alias("s")))).alias("r"))
+
+    @F.pandas_udf("array<string>")
+    def run(query: pd.Series, titles: pd.Series, snippets: pd.Series) -> pd.Series:
+        return pd.Series([expand_query(q or "", [f"{a} {b}" for a, b in zip(t, s)] if t is not None else [], list(t) if t is not None else [], most) for q, t, s in zip(query, titles, snippets)])
 
+    rows = queries.join(top, "query_id", "left")
+    return rows.select("query_id", F.posexplode(run("query", F.transform("r", lambda x: x["t"]), F.transform("r", lambda x: x["s"]))).alias("position", "expansion"))
 
-def evidence_level(passages: DataFrame) -> DataFrame:
-    """passages (query_id, score, domain, coverage, cutoff): level strong, weak or none for each query."""
+
+def evidence_level(passages: DataFrame, top_k: int = 10) -> DataFrame:
+    """passages (query_id, score, domain, coverage): level strong, weak or none for each query.
+
+    coverage: share of the query's terms in its best passages.  none: under .34;
+    strong: .67 at least with two domains, a best score of 1.5 times the mean, or
+    three quarters of top_k passages left after the cut.
+    """
     per = passages.groupBy("query_id").agg(F.count("*").alias("passages"), F.count_distinct("domain").alias("domains"), F.max("score").alias("top"), F.avg("score").alias("mean"), F.max("coverage").alias("coverage"))
     ratio = F.when(F.col("mean") > 0, F.col("top") / F.col("mean")).otherwise(0.0)
-    strong = (F.col("coverage") >= 0.67) & ((F.col("domains") >= 2) | (ratio >= 1.5))
+    cut = F.col("passages") / float(top_k)
+    strong = (F.col("coverage") >= 0.67) & ((F.col("domains") >= 2) | (ratio >= 1.5) | (cut >= 0.75))
     level = F.when((F.col("passages") == 0) | (F.col("coverage") < 0.34), "none").when(strong, "strong").otherwise("weak")
-    return per.select("query_id", "passages", "domains", "coverage", ratio.alias("top_ratio"), level.alias("level"))
+    return per.select("query_id", "passages", "domains", "coverage", ratio.alias("top_ratio"), cut.alias("cutoff"), level.alias("level"))

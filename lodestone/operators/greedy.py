@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.common import ship
 from ..functions.text import tokenize
 
 
@@ -59,6 +60,8 @@ def xquad_order(relevance: np.ndarray, aspects: list[tuple[float, np.ndarray]],
 def mmr(pool: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
     """pool (query_id, doc_id, score, vector) -> (query_id, doc_id, position)."""
 
+    ship()
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
         v = np.array(g["vector"].tolist(), dtype=np.float64)
@@ -72,6 +75,8 @@ def mmr(pool: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
 def xquad(pool: DataFrame, k: int, trade: float = 0.5) -> DataFrame:
     """pool (query_id, doc_id, score, aspects array<double>) with equal weights -> (query_id, doc_id, position)."""
 
+    ship()
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
         a = np.array(g["aspects"].tolist(), dtype=np.float64).T
@@ -82,29 +87,25 @@ def xquad(pool: DataFrame, k: int, trade: float = 0.5) -> DataFrame:
     return pool.groupBy("query_id").applyInPandas(run, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, position int")
 
 
-def pack_budget(passages: DataFrame, budget: int) -> DataFrame:
-    """passages (query_id, doc_id, source, score, tokens, rank): those that fit a token budget.
+def pack_budget(passages: DataFrame, budget: int | None = None) -> DataFrame:
+    """passages (query_id, doc_id, source, score, tokens, rank[, budget]): those that fit a token budget, one for all or a column.
 
-    All if they fit; else the best one, then the best of each source, then by
-    score for each token; the original order stays.
+    All if they fit; else the first one, the best of each source, then by score
+    for each token, each if there is room for it; the original order stays.
     """
+    ship()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["rank", "doc_id"]).reset_index(drop=True)
-        if g["tokens"].sum() <= budget:
+        room = int(g["budget"].iloc[0]) if budget is None else budget
+        if g["tokens"].sum() <= room:
             return g
-        by_score = g.sort_values(["score", "rank"], ascending=[False, True]).index.tolist()
-        order = by_score[:1]
-        seen = {g["source"][order[0]]}
-        for i in by_score[1:]:
-            if g["source"][i] not in seen:
-                seen.add(g["source"][i])
-                order.append(i)
-        value = g["score"] / g["tokens"].clip(lower=1)
-        order += [i for i in sorted(by_score, key=lambda i: (-value[i], g["rank"][i])) if i not in order]
+        best = g.sort_values(["score", "rank"], ascending=[False, True])
+        value = (g["score"] / g["tokens"].clip(lower=1)).sort_values(ascending=False, kind="stable")
+        order = dict.fromkeys([0, *best.drop_duplicates("source").index, *value.index])
         taken, used = [], 0
         for i in order:
-            if not taken or used + g["tokens"][i] <= budget:
+            if used + g["tokens"][i] <= room:
                 taken.append(i)
                 used += int(g["tokens"][i])
         return g.loc[sorted(taken)]
@@ -125,6 +126,8 @@ def join_adjacent(a: str, b: str, a_end: int | None = None, b_start: int | None
 def merge_adjacent(chunks: DataFrame) -> DataFrame:
     """chunks (query_id, url, chunk_index, text, score): neighbours of a url as one passage with the best score."""
 
+    ship()
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (q, url), own in g.sort_values("chunk_index").groupby(["query_id", "url"], sort=False):
@@ -144,6 +147,8 @@ def merge_adjacent(chunks: DataFrame) -> DataFrame:
 def drop_near_copies(pool: DataFrame, threshold: float = 0.9) -> DataFrame:
     """pool (query_id, doc_id, text, score): in score order, those not alike to one kept before."""
 
+    ship()
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["score", "doc_id"], ascending=[False, True])
         kept, seen, out = [], set(), []
@@ -171,6 +176,8 @@ def rerank(pool: DataFrame, fn=None, top: int = 50) -> DataFrame:
 
     score = fn or overlap
 
+    ship()
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["rank", "doc_id"]).reset_index(drop=True)
         head, tail = g.head(top).copy(), g.iloc[top:]

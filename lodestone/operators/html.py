@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import ship
+
 SKIP = frozenset("script style noscript template svg iframe nav footer aside form button".split())
 BLOCKS = frozenset("p div section article main header ul ol li table tr blockquote pre h1 h2 h3 h4 h5 h6 br hr figure figcaption dl dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -198,6 +200,8 @@ PAGE = "page_id long, url string, title string, description string, site_name st
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> text and metadata; a page that cannot be parsed gives what was read of it."""
 
+    ship()
+
     def run(batches):
         for pdf in batches:
             rows = [{"page_id": p, "url": u, **read_page(u, h)} for p, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"])]

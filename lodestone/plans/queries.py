@@ -35,12 +35,48 @@ TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), la
 HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
 PATH = "regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 TRACK = ", ".join(f"'{x}'" for x in U.TRACKING)
-CANON = f"""canon AS (SELECT page_id, url, scheme || '://' || regexp_replace({HOST}, '^www\\.', '') ||
+AMP = ", ".join(f"'{x}'" for x in U.AMP)
+
+
+def values(name: str, schema: str, rows: list[tuple]):
+    """A table given in the query itself: (its DataFrame by session, its SQL)."""
+
+    def literal(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool) or not isinstance(x, (str, float)):
+            return str(x).lower() if isinstance(x, bool) else f"[{', '.join(map(literal, x))}]" if isinstance(x, list) else str(x)
+        return f"{x!r}e0" if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
+
+    columns = ", ".join(c.split()[0] for c in schema.split(", "))
+    return lambda spark: spark.createDataFrame(rows, schema), f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)})"
+
+
+def clean_sql(source: str) -> str:
+    """SQL of clean_url over (page_id, url) of source: the cleaned URL as bare."""
+    found = " ".join(f"WHEN regexp_matches(u, '{p}') AND regexp_matches(url_decode(regexp_extract(u, '[?&](?:{n})=([^&#]+)', 1)), '^https?://') THEN url_decode(regexp_extract(u, '[?&](?:{n})=([^&#]+)', 1))" for p, n in U.WRAPPERS)
+    inner = f"SELECT page_id, url, url AS u FROM {source}"
+    for _ in range(3):
+        inner = f"SELECT page_id, url, CASE {found} ELSE u END AS u FROM ({inner})"
+    out = "u"
+    for p, new in U.FOLDS:
+        out = f"regexp_replace({out}, '{p}', '{new.replace('$', chr(92))}', 'g')"
+    return f"SELECT page_id, url, {out} AS bare FROM ({inner})"
+
+
+def canon_sql(name: str, source: str) -> str:
+    host = HOST.replace("(url,", "(bare,")
+    port = "regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*:([0-9]+)', 1)"
+    return f"""{name} AS (SELECT page_id, url, CASE WHEN scheme IN ('http', 'https') AND host <> '' THEN scheme || '://' || regexp_replace(host, '^www\\.', '') ||
+  CASE WHEN port <> '' AND NOT (scheme = 'http' AND port = '80') AND NOT (scheme = 'https' AND port = '443') THEN ':' || port ELSE '' END ||
   CASE WHEN {PATH} = '' THEN '/' WHEN {PATH} <> '/' THEN regexp_replace({PATH}, '/$', '') ELSE '/' END ||
-  CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical
-  FROM (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
-    list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(regexp_extract(p, '^([^=]*)', 1)) NOT IN ({TRACK}))) AS kept
-    FROM (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages)))"""
+  CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda x: x.p), '&') ELSE '' END ELSE url END AS canonical
+  FROM (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, {host} AS host, {port} AS port,
+    list_sort(list_transform(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(regexp_extract(p, '^([^=]*)', 1)) NOT IN ({TRACK}) AND lower(p) NOT IN ({AMP})), lambda p, i: {{'k': regexp_extract(p, '^([^=]*)', 1), 'i': i, 'p': p}})) AS kept
+    FROM ({clean_sql(source)})))"""
+
+
+CANON = canon_sql("canon", "pages")
 DOMAIN = """CASE WHEN len(p) <= 2 THEN array_to_string(p, '.') WHEN length(p[-1]) = 2 AND p[-2] IN ('co','com','org','net','gov','edu','ac','or','ne')
   THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END"""
 
@@ -48,9 +84,24 @@ DOMAIN = """CASE WHEN len(p) <= 2 THEN array_to_string(p, '.') WHEN length(p[-1]
 # ---- urls and pages -------------------------------------------------------
 
 
-@query(f"WITH {CANON} SELECT page_id, canonical FROM canon")
+#: URLs for every rule that the pages table does not meet.
+URLS, URLS_SQL = values("urls", "page_id long, url string", [
+    (-1, "https://www.google.com/url?q=https%3A%2F%2Fen.m.wikipedia.org%2Fwiki%2FA%3Fb%3D1&sa=U"), (-2, "https://l.facebook.com/l.php?u=https%3A%2F%2Fduckduckgo.com%2Fl%2F%3Fuddg%3Dhttps%253A%252F%252Fx.org%252Fp&h=1"),
+    (-3, "https://a-b.cdn.ampproject.org/c/s/x.org/story/amp/?amp=1&z=2"), (-4, "http://amp.x.org:8080/p.amp?b=2&a=2&a=1&a-b=3&utm_source=q"), (-5, "https://x.org:443/"), (-6, "http://www.X.org:80/A/B/?outputType=amp#top"),
+    (-7, "mailto:a@b.org"), (-8, "no url"), (-9, "https://de.m.wikipedia.org/wiki/Z?utm_medium=m&c"), (-10, "https://www.youtube.com/redirect?q=ftp%3A%2F%2Fx.org"), (-11, "https://www.google.com/amp/s/news.org/a/"),
+])
+
+
+@query(f"WITH {URLS_SQL}, {canon_sql('canon', '(SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM urls)')} SELECT page_id, canonical FROM canon")
 def canonical_url(spark, d):
-    return table(spark, d, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
+    rows = table(spark, d, "pages").select("page_id", "url").unionByName(URLS(spark))
+    return rows.select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(f"WITH {URLS_SQL} SELECT page_id, CASE WHEN regexp_matches(bare, '(?i)^https?://[^/?#]+') THEN bare END AS clean FROM ({clean_sql('(SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM urls)')})")
+def normalize_url(spark, d):
+    rows = table(spark, d, "pages").select("page_id", "url").unionByName(URLS(spark))
+    return rows.select("page_id", U.normalize_url(F.col("url")).alias("clean"))
 
 
 @query(f"SELECT page_id, host, {DOMAIN} AS domain FROM (SELECT page_id, {HOST} AS host, list_filter(string_split({HOST}, '.'), lambda x: x <> '') AS p FROM pages)")
@@ -71,11 +122,11 @@ def url_dedupe_best_rank(spark, d):
 
 
 @query(f"""WITH {CANON}, lists AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 1e0 ELSE 0.8e0 END / (10e0 + page_id) AS part FROM canon),
- per AS (SELECT canonical, sum(part) AS score FROM lists GROUP BY canonical)
- SELECT canonical, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, canonical) AS BIGINT) AS rank FROM per""")
+ per AS (SELECT page_id % 25 AS query_id, canonical, sum(part) AS score FROM lists GROUP BY ALL)
+ SELECT query_id, canonical, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, canonical) AS BIGINT) AS rank FROM per""")
 def serp_merge(spark, d):
-    serp = table(spark, d, "pages").select(F.lit("q").alias("query_id"), "url", F.col("page_id").alias("rank"), F.lit("").alias("title"), F.when(F.col("page_id") % 3 == 0, 0).otherwise(1).alias("list_no"))
-    return A.merge_lists(serp).select("canonical", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    serp = table(spark, d, "pages").select((F.col("page_id") % 25).alias("query_id"), "url", F.col("page_id").alias("rank"), F.lit("").alias("title"), F.when(F.col("page_id") % 3 == 0, 0).otherwise(1).alias("list_no"))
+    return A.merge_lists(serp).select("query_id", "canonical", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_links FROM pages")
@@ -117,9 +168,15 @@ def html_extract(spark, d):
     return html.extract_pages(table(spark, d, "pages")).drop("links")
 
 
-@query(f"""SELECT page_id, round(CASE WHEN {HOST} LIKE '%.edu' OR {HOST} LIKE '%.gov' THEN 1.1e0 ELSE 1e0 END, 6) AS prior FROM pages""")
+PRIORS, PRIORS_SQL = values("more", "page_id long, url string", [(-k, f"https://{h}{p}") for k, (h, p) in enumerate([("nasa.gov", "/x"), ("www.mit.edu", ""), ("arxiv.org", "/abs/1"), ("export.arxiv.org", "/"), ("en.wikipedia.org", "/wiki/A"), ("github.com", "/a/b/blob/main/readme.md"), ("github.com", "/a/b"), ("de.pinterest.com", "/p"), ("scribd.com", ""), ("notscribd.com", ""), ("www.ehow.com", "/"), ("gov", "/")], 1)])
+PRIOR_SQL = " * ".join(f"CASE WHEN {'regexp_matches(path, ' if '/' in g else f'(host = {chr(39)}{g.removeprefix(chr(42) + chr(46))}{chr(39)} OR regexp_matches(host, '}'^{g.replace('.', chr(92) + '.').replace('*', '.*')}$'){'' if '/' in g else ')'} THEN {m!r}e0 ELSE 1e0 END" for g, m in A.SOURCE_PRIORS.items())
+
+
+@query(f"""WITH {PRIORS_SQL} SELECT page_id, round(least(1.3e0, greatest(0.7e0, {PRIOR_SQL})), 6) AS prior FROM
+ (SELECT page_id, {HOST} AS host, regexp_replace(regexp_replace(lower(url), '^[a-z]+://(www\\.)?', ''), '[?#].*$', '') AS path FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM more))""")
 def source_priors(spark, d):
-    return table(spark, d, "pages").select("page_id", F.round(A.source_prior(F.col("url")), 6).alias("prior"))
+    rows = table(spark, d, "pages").select("page_id", "url").unionByName(PRIORS(spark))
+    return rows.select("page_id", F.round(A.source_prior(F.col("url")), 6).alias("prior"))
 
 
 @query()
@@ -130,15 +187,18 @@ def fast_paths(spark, d):
 # ---- text -----------------------------------------------------------------
 
 
-@query(f"""SELECT DISTINCT t AS token, CASE WHEN length(t) <= 4 THEN t WHEN t LIKE '%ies' AND length(t) > 5 THEN left(t, length(t) - 3) || 'y' WHEN t LIKE '%sses' THEN left(t, length(t) - 2)
+STEM = """CASE WHEN length(t) <= 4 THEN t WHEN t LIKE '%ies' AND length(t) > 5 THEN left(t, length(t) - 3) || 'y' WHEN t LIKE '%sses' THEN left(t, length(t) - 2)
  WHEN t LIKE '%ing' AND length(t) > 6 THEN left(t, length(t) - 3) WHEN t LIKE '%ed' AND length(t) > 5 THEN left(t, length(t) - 2)
- WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND t NOT LIKE '%us' AND t NOT LIKE '%is' THEN left(t, length(t) - 1) ELSE t END AS stem FROM (SELECT unnest({TOKENS}) AS t FROM benchmark)""")
+ WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND t NOT LIKE '%us' AND t NOT LIKE '%is' THEN left(t, length(t) - 1) ELSE t END"""
+
+
+@query(f"SELECT DISTINCT t AS token, {STEM} AS stem FROM (SELECT unnest({TOKENS}) AS t FROM benchmark)")
 def light_stem(spark, d):
     t = table(spark, d, "benchmark").select(F.explode(T.simple_tokens(F.col("text"))).alias("token")).distinct()
     return t.select("token", T.light_stem(F.col("token")).alias("stem"))
 
 
-@query()
+@query(f"SELECT DISTINCT t AS token, {STEM} AS stem FROM (SELECT unnest({TOKENS}) AS t FROM documents)")
 def light_stem_documents(spark, d):
     t = table(spark, d, "documents").select(F.explode(T.simple_tokens(F.col("text"))).alias("token")).distinct()
     return t.select("token", T.light_stem(F.col("token")).alias("stem"))
@@ -175,15 +235,20 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
 
 
-@query("SELECT conv_id, turn, numbers FROM (SELECT conv_id, turn, array_to_string(list_distinct(list_transform(regexp_extract_all(text, '\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b|\\b[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: replace(x, ',', ''))), ' ') AS numbers FROM conversations) WHERE numbers = ''")
+NUMBERS = "list_transform(regexp_extract_all(text, '\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b|\\b[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: replace(x, ',', ''))"
+NUMBER_LIST = f"array_to_string(list_filter({NUMBERS}, lambda x, i: list_position({NUMBERS}, x) = i), ' ')"
+AMOUNTS, AMOUNTS_SQL = values("amounts", "doc_id long, text string", [(-1, "up 12.5% to 1,200 on 2024-05-01 and 2023, again 12.5%"), (-2, "none"), (-3, "v1.2.3, 7, 7 and 1,234,567.89"), (-4, "x9 9x 2024-13 -5")])
+
+
+@query(f"SELECT conv_id, turn, {NUMBER_LIST} AS numbers FROM conversations")
 def extract_numbers(spark, d):
-    """Of all turns; the SQL still gives only those without numbers."""
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.extract_numbers(F.col("text")), " ").alias("numbers"))
 
 
-@query()
+@query(f"WITH {AMOUNTS_SQL} SELECT doc_id, {NUMBER_LIST} AS numbers FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM amounts)")
 def extract_numbers_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.extract_numbers(F.col("text")), " ").alias("numbers"))
+    rows = table(spark, d, "documents").select("doc_id", "text").unionByName(AMOUNTS(spark))
+    return rows.select("doc_id", F.array_join(T.extract_numbers(F.col("text")), " ").alias("numbers"))
 
 
 @query("""SELECT doc_id, left(array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 40 AND NOT regexp_matches(trim(x), '^(#|!\\[|\\||\\[)')), lambda x: trim(x)), ' '), 240) AS lead FROM documents""")
@@ -191,9 +256,15 @@ def lead_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.lead_text(F.col("text")).alias("lead"))
 
 
-@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS script_lang FROM documents")
+SCRIPTS, SCRIPTS_SQL = values("scripts", "doc_id long, text string", [(-k, x) for k, x in enumerate(["これは日本語の文章です。とても長いので判定できます。", "이것은 한국어 문장입니다 충분히 길어서 판정할 수 있습니다", "这是一个足够长的中文句子用来判断语言应该没有问题的吧", "Это русское предложение достаточной длины", "هذه جملة عربية طويلة بما يكفي للحكم عليها", "Αυτή είναι μια ελληνική πρόταση", "זהו משפט בעברית ארוך מספיק כדי לקבוע", "यह एक हिंदी वाक्य है जो काफी लंबा है और पर्याप्त", "นี่คือประโยคภาษาไทยที่ยาวพอสมควร", "short", "mostly latin words with пять here and there only"], 1)])
+SHARES = [("ja", "\\x{3040}-\\x{30FF}", "0.05e0"), ("ko", "\\x{AC00}-\\x{D7AF}", "0.2e0"), ("zh", "\\x{4E00}-\\x{9FFF}", "0.2e0"), ("ru", "\\x{0400}-\\x{04FF}", "0.2e0"), ("ar", "\\x{0600}-\\x{06FF}", "0.2e0"), ("el", "\\x{0370}-\\x{03FF}", "0.2e0"), ("he", "\\x{0590}-\\x{05FF}", "0.2e0"), ("hi", "\\x{0900}-\\x{097F}", "0.2e0"), ("th", "\\x{0E00}-\\x{0E7F}", "0.2e0")]
+SHARE_SQL = " ".join(f"WHEN len(regexp_extract_all(head, '[{c}]')) > {share} * letters THEN '{lang}'" for lang, c, share in SHARES)
+
+
+@query(f"WITH {SCRIPTS_SQL} SELECT doc_id, CASE WHEN letters < 20 THEN NULL {SHARE_SQL} END AS script_lang FROM (SELECT doc_id, left(text, 4000) AS head, len(regexp_extract_all(left(text, 4000), '\\p{{L}}')) AS letters FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM scripts))")
 def lang_script_guess(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.script_language(F.col("text")).alias("script_lang"))
+    rows = table(spark, d, "documents").select("doc_id", "text").unionByName(SCRIPTS(spark))
+    return rows.select("doc_id", T.script_language(F.col("text")).alias("script_lang"))
 
 
 @query("SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS idx, unnest(string_split(text, chr(10))) AS paragraph FROM documents")
@@ -209,7 +280,7 @@ def chunk_tokens(spark, d):
 
 # ---- lexical retrieval ----------------------------------------------------
 
-QUERY_TERMS = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct(({TOKENS})[1:4])) AS term FROM benchmark)"""
+QUERY_TERMS = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS})) AS term FROM benchmark)"""
 BM25_BASE = f"""WITH {QUERY_TERMS}, w AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM documents),
  tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM w GROUP BY ALL), len AS (SELECT doc_id, count(*)::DOUBLE AS len FROM w GROUP BY ALL),
  avg AS (SELECT sum(len) / max(n) AS avg_len FROM len, n), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term), asked AS (SELECT query_id, count(*)::DOUBLE AS asked FROM q GROUP BY ALL),
@@ -217,18 +288,21 @@ BM25_BASE = f"""WITH {QUERY_TERMS}, w AS (SELECT doc_id, unnest({TOKENS}) AS ter
 
 
 def query_terms(spark, d) -> DataFrame:
-    """All distinct tokens of each benchmark text; the SQL in QUERY_TERMS still takes the first four alone."""
+    """All distinct tokens of each benchmark text."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.simple_tokens(F.col("text")))).alias("term"))
 
 
-def lexical(spark, d, opts, k: int = 10) -> DataFrame:
+def lexical(spark, d, opts) -> DataFrame:
     docs = table(spark, d, "documents")
-    terms = bm25.terms_of(docs, "doc_id", T.simple_tokens(F.col("text")))
+    # one pass over the tokens: only the query's terms go on, each with its document's length
+    rows = docs.select("doc_id", let(T.simple_tokens(F.col("text")), lambda t: F.struct(F.size(t).cast("long").alias("len"), t.alias("t"))).alias("d"))
+    terms = rows.select("doc_id", F.lit("body").alias("field"), F.col("d.len").alias("len"), F.posexplode("d.t").alias("pos", "term"))
     wanted = query_terms(spark, d)
-    # only the query's terms are counted; lengths come from the token arrays
-    lengths = docs.select("doc_id", F.lit("body").alias("field"), F.size(T.simple_tokens(F.col("text"))).cast("long").alias("len"))
-    posts = bm25.postings(terms.join(wanted.select("term").distinct(), "term", "left_semi"))
-    return bm25.scores(wanted, posts, lengths, docs.count(), opts)
+    hit = terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    extra = [F.array_sort(F.collect_list("pos")).alias("positions")] if opts.proximity else []
+    posts = hit.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"), F.max("len").alias("len"), *extra)
+    n, total = docs.agg(F.count("*"), F.sum(F.size(T.simple_tokens(F.col("text"))).cast("long"))).first()
+    return bm25.scores(wanted, posts, None, n, opts, {"body": (total or 0) / max(n, 1)})
 
 
 def ranked_sql(score: str, extra: str = "", k: int = 10) -> str:
@@ -293,13 +367,11 @@ def tokenize_full(spark, d):
 DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-def knn(spark, d, k: int, where: str = "true") -> DataFrame:
-    """Exact search; queries are the rows whose id divides by 100, against all rows."""
+def knn(spark, d, k: int, same_label: bool = False) -> DataFrame:
+    """Exact search; queries are the rows whose id divides by 100, against all rows, in blocks."""
     rows = table(spark, d, "embeddings")
-    q = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    cand = rows.join(F.broadcast(q), (F.col("vec_id") != F.col("query_id")) & F.expr(where)) if q.limit(10_001).count() <= 10_000 else rows.join(q, (F.col("vec_id") != F.col("query_id")) & F.expr(where))
-    scored = cand.select("query_id", F.col("vec_id").alias("doc_id"), F.round(V.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return bm25.top_k(scored, k).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    own, asked = (V.blocks(x, "vec_id", "embedding", "label") for x in (rows, rows.where("vec_id % 100 = 0")))
+    return V.nearest(own, asked, k, same_tag=same_label)
 
 
 def knn_sql(k: int, where: str = "true") -> str:
@@ -314,7 +386,7 @@ def knn_cosine(spark, d):
 
 @query(knn_sql(5, "a.label = b.label"))
 def knn_filtered(spark, d):
-    return knn(spark, d, 5, "label = q_label")
+    return knn(spark, d, 5, same_label=True)
 
 
 @query("""SELECT vec_id, round(list_dot_product(v, v), 6) AS norm2, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first FROM (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda x: 0.7e0 * x[1]::DOUBLE + 0.3e0 * x[2]::DOUBLE) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""")
@@ -329,13 +401,13 @@ def vector_combine(spark, d):
 # ---- fusion and selection -------------------------------------------------
 
 LISTS_SQL = """lists AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, list_no ORDER BY score DESC, doc_id) AS DOUBLE) AS rank FROM
- (SELECT doc_id % 7 AS query_id, 0 AS list_no, doc_id, n_chars::DOUBLE AS score, 1e0 AS weight FROM documents UNION ALL
-  SELECT doc_id % 7, 1, doc_id, ((doc_id * 7919) % 1009)::DOUBLE, 0.7e0 FROM documents WHERE doc_id % 2 = 0))"""
+ (SELECT doc_id % 49 AS query_id, 0 AS list_no, doc_id, n_chars::DOUBLE AS score, 1e0 AS weight FROM documents UNION ALL
+  SELECT doc_id % 49, 1, doc_id, ((doc_id * 7919) % 1009)::DOUBLE, 0.7e0 FROM documents WHERE doc_id % 2 = 0))"""
 
 
 def two_lists(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
-    key = (F.col("doc_id") % 7).alias("query_id")
+    key = (F.col("doc_id") % 49).alias("query_id")
     a = docs.select(key, F.lit(0).alias("list_no"), "doc_id", F.col("n_chars").cast("double").alias("score"), F.lit(1.0).alias("weight"))
     b = docs.where("doc_id % 2 = 0").select(key, F.lit(1).alias("list_no"), "doc_id", ((F.col("doc_id") * 7919) % 1009).cast("double").alias("score"), F.lit(0.7).alias("weight"))
     w = Window.partitionBy("query_id", "list_no").orderBy(F.desc("score"), "doc_id")
@@ -368,11 +440,11 @@ def list_weights(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(fusion.list_weight(kind, role, F.lit(True)), 6).alias("weight"))
 
 
-HITS_SQL = "hits AS (SELECT doc_id % 5 AS query_id, doc_id, source, ((doc_id * 7919) % 10007)::DOUBLE AS score FROM documents)"
+HITS_SQL = "hits AS (SELECT doc_id % 25 AS query_id, doc_id, source, ((doc_id * 7919) % 10007)::DOUBLE AS score FROM documents)"
 
 
 def hits(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select((F.col("doc_id") % 5).alias("query_id"), "doc_id", "source", ((F.col("doc_id") * 7919) % 10007).cast("double").alias("score"))
+    return table(spark, d, "documents").select((F.col("doc_id") % 25).alias("query_id"), "doc_id", "source", ((F.col("doc_id") * 7919) % 10007).cast("double").alias("score"))
 
 
 @query(f"WITH {HITS_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS n FROM hits), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE n <= 3) SELECT query_id, doc_id, source, score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 30")
@@ -386,10 +458,10 @@ def round_robin_diversify(spark, d):
     return selection.diversify_by_source(hits(spark, d), 3, 30).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH h AS (SELECT page_id, list_filter(string_split({HOST}, '.'), lambda x: x <> '') AS p FROM pages), o AS (SELECT page_id, {DOMAIN} AS domain, page_id AS rank FROM h), v AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY rank) > 5 AS over FROM o)
- SELECT page_id, domain, CAST(row_number() OVER (ORDER BY over, rank) AS BIGINT) AS new_rank FROM v""")
+@query(f"""WITH h AS (SELECT page_id, list_filter(string_split({HOST}, '.'), lambda x: x <> '') AS p FROM pages), o AS (SELECT page_id, {DOMAIN} AS domain, page_id AS rank FROM h), v AS (SELECT *, row_number() OVER (PARTITION BY page_id % 5, domain ORDER BY rank) > 5 AS over FROM o)
+ SELECT page_id, domain, CAST(row_number() OVER (PARTITION BY page_id % 5 ORDER BY over, rank) AS BIGINT) AS new_rank FROM v""")
 def domain_cap_demote(spark, d):
-    rows = table(spark, d, "pages").select(F.lit(0).alias("query_id"), "page_id", U.registrable_domain(U.host_of(F.col("url"))).alias("domain"), F.col("page_id").alias("rank"))
+    rows = table(spark, d, "pages").select((F.col("page_id") % 5).alias("query_id"), "page_id", U.registrable_domain(U.host_of(F.col("url"))).alias("domain"), F.col("page_id").alias("rank"))
     return selection.demote_domains(rows, 5).select("page_id", "domain", F.col("new_rank").cast("long").alias("new_rank"))
 
 
@@ -406,9 +478,9 @@ def autocut(spark, d):
     return selection.autocut(rows)
 
 
-@query("SELECT query_id, url, CAST(min(chunk_index) AS BIGINT) AS first, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, chunk_index - row_number() OVER (PARTITION BY query_id, url ORDER BY chunk_index) AS island FROM (SELECT 0 AS query_id, source AS url, doc_id AS chunk_index FROM documents WHERE doc_id % 4 <> 0)) GROUP BY query_id, url, island")
+@query("SELECT query_id, url, CAST(min(chunk_index) AS BIGINT) AS first, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, chunk_index - row_number() OVER (PARTITION BY query_id, url ORDER BY chunk_index) AS island FROM (SELECT 0 AS query_id, source AS url, doc_id AS chunk_index FROM documents)) GROUP BY query_id, url, island")
 def adjacent_islands(spark, d):
-    rows = table(spark, d, "documents").where("doc_id % 4 <> 0").select(F.lit(0).alias("query_id"), F.col("source").alias("url"), F.col("doc_id").alias("chunk_index"))
+    rows = table(spark, d, "documents").select(F.lit(0).alias("query_id"), F.col("source").alias("url"), F.col("doc_id").alias("chunk_index"))
     got = selection.adjacent_islands(rows).groupBy("query_id", "url", "island").agg(F.min("chunk_index").alias("first"), F.count("*").alias("n"))
     return got.drop("island")
 
@@ -440,7 +512,7 @@ def pack_budget(spark, d):
 @query()
 def merge_adjacent(spark, d):
     c = chunking.chunk_documents(table(spark, d, "documents"), size=120)
-    return greedy.merge_adjacent(c.select((F.col("doc_id") % 50).alias("query_id"), F.col("doc_id").cast("string").alias("url"), "chunk_index", "text", (1.0 / (1 + F.col("chunk_index"))).alias("score")))
+    return greedy.merge_adjacent(c.select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("url"), "chunk_index", "text", (1.0 / (1 + F.col("chunk_index"))).alias("score")))
 
 
 # ---- duplicates -----------------------------------------------------------
@@ -475,10 +547,10 @@ def host_boilerplate(spark, d):
     return duplicates.host_boilerplate(rows).select("host", "pages", F.col("n_chars").cast("long").alias("n_chars"))
 
 
-@query("""WITH g AS (SELECT doc_id, substr(t, i, 3) AS g, count(*) AS n FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g')) AS t FROM documents WHERE n_chars < 2000)) GROUP BY ALL), tot AS (SELECT doc_id, sum(n) AS t FROM g GROUP BY ALL),
+@query("""WITH g AS (SELECT doc_id, substr(t, i, 3) AS g, count(*) AS n FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g')) AS t FROM documents)) GROUP BY ALL), tot AS (SELECT doc_id, sum(n) AS t FROM g GROUP BY ALL),
  c AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS c FROM g a JOIN g b ON b.doc_id = a.doc_id + 1 AND a.g = b.g GROUP BY ALL) SELECT ta.doc_id AS a, tb.doc_id AS b, round(2e0 * coalesce(c, 0) / (ta.t + tb.t), 6) AS f1 FROM tot ta JOIN tot tb ON tb.doc_id = ta.doc_id + 1 LEFT JOIN c ON c.a = ta.doc_id AND c.b = tb.doc_id""")
 def trigram_f1(spark, d):
-    """All pairs of neighbours by id; the SQL still leaves out texts of 2000 characters or more."""
+    """All pairs of neighbours by id."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     ids = docs.select("doc_id")
     pairs = ids.select(F.col("doc_id").alias("a")).join(ids.select(F.col("doc_id").alias("b")), F.col("b") == F.col("a") + 1)
@@ -501,11 +573,34 @@ def bridge_entities(spark, d):
     return evidence.bridge_entities(table(spark, d, "documents").select(F.col("source").alias("query_id"), "text"))
 
 
-@query(f"""WITH {HITS_SQL}, p AS (SELECT query_id, count(*) AS passages, count(DISTINCT source) AS domains, max(score) AS top, avg(score) AS mean FROM hits WHERE score > 9000 GROUP BY ALL)
- SELECT query_id, passages, domains, round(top / mean, 6) AS top_ratio, CASE WHEN domains >= 2 OR top / mean >= 1.5e0 THEN 'strong' ELSE 'weak' END AS level FROM p""")
+LEVEL_SQL = """SELECT query_id, count(*) AS passages, count(DISTINCT domain) AS domains, max(coverage) AS coverage, max(score) / avg(score) AS top_ratio, count(*) / 10e0 AS cutoff FROM p GROUP BY ALL"""
+LEVEL = """SELECT query_id, passages, domains, round(coverage, 6) AS coverage, round(top_ratio, 6) AS top_ratio, CASE WHEN coverage < 0.34e0 THEN 'none' WHEN coverage >= 0.67e0 AND (domains >= 2 OR top_ratio >= 1.5e0 OR cutoff >= 0.75e0) THEN 'strong' ELSE 'weak' END AS level FROM l"""
+TOP_SQL = """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, sum(idf * (f * 2.2e0 / (f + 1.2e0) + 0.5e0)) AS score FROM hit GROUP BY ALL)) WHERE rank <= 10)"""
+LEVELS, LEVELS_SQL = values("p", "query_id long, score double, domain string, coverage double", [(1, 1.0, "a", 0.9), (1, 0.9, "b", 0.9), (2, 1.0, "a", 0.2), (3, 1.0, "a", 0.7), (3, 0.9, "a", 0.7), (4, 1.0, "a", 0.7), (4, 0.1, "a", 0.7), (5, 1.0, "a", 0.5), (5, 0.9, "b", 0.5), *[(6, 1.0, "a", 0.68)] * 8, *[(7, 1.0, "a", 0.68)] * 7])
+
+
+def shown_levels(rows: DataFrame) -> DataFrame:
+    return evidence.evidence_level(rows).select("query_id", "passages", "domains", F.round("coverage", 6).alias("coverage"), F.round("top_ratio", 6).alias("top_ratio"), "level")
+
+
+@query(f"WITH {LEVELS_SQL}, l AS ({LEVEL_SQL}) {LEVEL}")
+def evidence_rules(spark, d):
+    """Every branch of the levels on passages given here."""
+    return shown_levels(LEVELS(spark))
+
+
+@query(f"""{BM25_BASE}, {TOP_SQL}, c AS (SELECT query_id, count(DISTINCT term) / max(asked) AS coverage FROM hit JOIN (SELECT query_id, doc_id FROM top WHERE rank <= 3) USING (query_id, doc_id) GROUP BY query_id),
+ p AS (SELECT query_id, score, source AS domain, coverage FROM top JOIN documents USING (doc_id) JOIN c USING (query_id)), l AS ({LEVEL_SQL}) {LEVEL}""")
 def evidence_levels(spark, d):
-    rows = hits(spark, d).where("score > 9000").select("query_id", "score", F.col("source").alias("domain"), F.lit(1.0).alias("coverage"))
-    return evidence.evidence_level(rows).select("query_id", "passages", "domains", F.round("top_ratio", 6).alias("top_ratio"), "level")
+    """Levels of the ten best documents of each benchmark item; coverage by the best three."""
+    top = bm25.top_k(lexical(spark, d, bm25.Bm25Options()).withColumn("score", F.round("score", 9)), 10)
+    docs = table(spark, d, "documents")
+    wanted = query_terms(spark, d)
+    three = top.where("rank <= 3").select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    present = three.select("query_id", F.explode(T.simple_tokens(F.col("text"))).alias("term")).join(wanted, ["query_id", "term"], "left_semi").distinct()
+    asked = wanted.groupBy("query_id").agg(F.count("*").alias("asked"))
+    coverage = present.groupBy("query_id").agg(F.count("*").alias("n")).join(asked, "query_id").select("query_id", (F.col("n") / F.col("asked")).alias("coverage"))
+    return shown_levels(top.join(docs.select("doc_id", F.col("source").alias("domain")), "doc_id").join(coverage, "query_id"))
 
 
 @query()
@@ -518,9 +613,12 @@ def citation_verify(spark, d):
 
 @query()
 def highlights(spark, d):
+    """Best windows of the three best documents of each benchmark item; every term weighs one."""
     top = bm25.top_k(lexical(spark, d, bm25.Bm25Options()).withColumn("score", F.round("score", 9)), 3)
-    rows = top.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
-    return evidence.attach_highlights(rows).select("query_id", "doc_id", "highlight.start", "highlight.end", F.round("highlight.score", 6).alias("score"))
+    rows = top.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.transform(T.full_tokens(F.col("text")), lambda x: x["token"]))).alias("term"))
+    got = evidence.attach_highlights(rows, items.withColumn("weight", F.lit(1.0)))
+    return got.select("query_id", "doc_id", "highlight.start", "highlight.end", F.round("highlight.score", 6).alias("score"))
 
 
 CLEAN = "regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')"
@@ -569,14 +667,15 @@ def session_windows(spark, d):
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "calls")
 
 
-@query("SELECT event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) >= 15000000")
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (SELECT user_id, event_id, t, n FROM o WHERE n = 1
+ UNION ALL SELECT o.user_id, o.event_id, o.t, o.n FROM (SELECT r.user_id, min(o.n) AS n FROM r JOIN o ON o.user_id = r.user_id AND o.n > r.n AND o.t >= r.t + 3600000000 GROUP BY r.user_id) x JOIN o USING (user_id, n)) SELECT event_id FROM r""")
 def negative_cache_dedupe(spark, d):
-    return S.negative_cache(table(spark, d, "events")).select("event_id")
+    return S.negative_cache(table(spark, d, "events"), 3600).select("event_id")
 
 
-@query("SELECT event_id, round((epoch_us(ts) - epoch_us(p)) / 1000e0, 3) AS wait_ms FROM (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events) WHERE (epoch_us(ts) - epoch_us(p)) / 1000e0 < 60000")
+@query("SELECT event_id, round((epoch_us(ts) - epoch_us(p)) / 1000e0, 3) AS wait_ms FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE (epoch_us(ts) - epoch_us(p)) / 1000e0 < 3600000")
 def host_interval(spark, d):
-    return S.host_intervals(table(spark, d, "events"), 60_000).select("event_id", F.round("wait_ms", 3).alias("wait_ms"))
+    return S.host_intervals(table(spark, d, "events"), 3_600_000, "user_id").select("event_id", F.round("wait_ms", 3).alias("wait_ms"))
 
 
 @query("SELECT user_id, count(*) AS entries, max(ts) AS last_used FROM events GROUP BY user_id")

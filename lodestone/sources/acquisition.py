@@ -142,3 +142,70 @@ def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     rows = usage.join(prices, "model", "left")
     each = F.col("calls") / 1000.0 * F.col("per_1k_calls") + F.col("tokens") / 1000000.0 * F.col("per_1m_tokens")
     return rows.groupBy("call_id").agg(F.round(F.sum(each), 6).alias("usd"))
+
+
+def page_validators(headers: Column) -> Column:
+    """struct(etag, last_modified, max_age_s) of response headers (lower-case names): null where absent, or not to be stored."""
+    control = F.lower(F.coalesce(F.try_element_at(headers, F.lit("cache-control")), F.lit("")))
+    age = F.coalesce(F.nullif(F.regexp_extract(control, "s-maxage=([0-9]+)", 1), F.lit("")), F.nullif(F.regexp_extract(control, "max-age=([0-9]+)", 1), F.lit("")))
+    modified = F.try_element_at(headers, F.lit("last-modified"))
+    dated = F.when(modified.rlike("^[A-Z][a-z]{2}, [0-9]{2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8} GMT$"), modified)
+    return F.struct(F.try_element_at(headers, F.lit("etag")).alias("etag"), dated.alias("last_modified"), F.when(~control.rlike("no-store|no-cache|private"), age.cast("long")).alias("max_age_s"))
+
+
+def parser_of(content_type: Column, url: Column, head: Column) -> Column:
+    """The parser for a response: served Markdown, PDF, HTML or text; null for what holds no text."""
+    base = F.lower(F.trim(F.regexp_extract(F.coalesce(content_type, F.lit("")), "^([^;]*)", 1)))
+    path = F.lower(F.regexp_replace(url, "[?#].*$", ""))
+    return (
+        F.when(base.rlike("^text/(?:x-)?markdown$") | ((base == "text/plain") & path.rlike("\\.mdx?$")), "markdown")
+        .when((base == "application/pdf") | head.startswith("%PDF-") | ((base == "") & path.endswith(".pdf")), "pdf")
+        .when(base.rlike("^(?:text/html|application/xhtml\\+xml)$") | ((base == "") & F.lower(head).rlike("<(?:!doctype html|html|body)")), "html")
+        .when(base.rlike("^text/|json|xml|yaml") | (base == ""), "text")
+    )
+
+
+def unseen(results: DataFrame, seen: DataFrame) -> DataFrame:
+    """results (url, ...) whose canonical URL is none of seen (url): an anti-join on equal keys."""
+    old = seen.select(canonical_url(F.col("url")).alias("canonical")).distinct()
+    return results.withColumn("canonical", canonical_url(F.col("url"))).join(old, "canonical", "left_anti")
+
+
+def cache_stats(entries: DataFrame) -> DataFrame:
+    """entries (host, bytes, fetched_at): entries, bytes, oldest and newest of each host."""
+    return entries.groupBy("host").agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"), F.min("fetched_at").alias("oldest"), F.max("fetched_at").alias("newest"))
+
+
+#: Fields of the results of JSON search APIs: (path of the list, url, title, snippet, date).
+# Field names of the providers' answers.
+SEARCH_APIS = {
+    "brave": ("$.web.results", "url", "title", "description", "page_age"), "serper": ("$.organic", "link", "title", "snippet", "date"), "serpapi": ("$.organic_results", "link", "title", "snippet", "date"),
+    "google-cse": ("$.items", "link", "title", "snippet", ""), "tavily": ("$.results", "url", "title", "content", "published_date"), "exa": ("$.results", "url", "title", "text", "publishedDate"),
+    "perplexity": ("$.results", "url", "title", "snippet", "date"), "searxng": ("$.results", "url", "title", "content", "publishedDate"), "wikipedia": ("$.pages", "key", "title", "excerpt", ""),
+}
+
+
+def parse_search_json(raw: DataFrame) -> DataFrame:
+    """raw (query_id, provider, body) of landed API answers -> result rows (query_id, source, rank, url, title, snippet, published_at); answers that are no JSON have none."""
+    out = None
+    for name, (path, url, title, snippet, date) in SEARCH_APIS.items():
+        items = F.from_json(F.get_json_object("body", path), "array<map<string,string>>")
+        rows = raw.where(F.col("provider") == name).select("query_id", F.lit(name).alias("source"), F.posexplode(items).alias("at", "m"))
+        pick = lambda k: F.try_element_at("m", F.lit(k)) if k else F.lit(None).cast("string")
+        own = rows.select("query_id", "source", (F.col("at") + 1).alias("rank"), pick(url).alias("url"), pick(title).alias("title"), pick(snippet).alias("snippet"), pick(date).alias("published_at")).where("url is not null")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+SOURCES: dict = {}
+
+
+def register_source(name: str, fn) -> None:
+    """fn(spark, queries) -> result rows; search(name, ...) finds it by name."""
+    SOURCES[name] = fn
+
+
+def search(name: str, spark, queries: DataFrame) -> DataFrame:
+    if name not in SOURCES:
+        raise ValueError(f"no search source {name!r}; known: {', '.join(sorted(SOURCES)) or 'none'}")
+    return SOURCES[name](spark, queries)

@@ -29,19 +29,61 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
 
 
 def negative_cache(failures: DataFrame, ttl: int = 15, key: str = "user_id") -> DataFrame:
-    """Failures that reach the network: those ttl seconds or more after the one before with the same key.
+    """Failures that reach the network: a remembered failure answers for ttl seconds from when it was met, and is not renewed.
 
-    The memory of a failure is renewed by each further one.
+    Each key's failures are folded in order over sorted partitions, so a task
+    holds one time and no group.  Null keys are one key, ties go by event_id.
     """
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    rows = timed(failures).withColumn("_before", F.lag("ts").over(w))
-    return rows.where(F.col("_before").isNull() | (F.unix_micros("ts") - F.unix_micros("_before") >= ttl * 1_000_000)).drop("_before")
+    rows = timed(failures)
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, "ts", "event_id")
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        now, until = object(), 0
+        for batch in batches:
+            keep = []
+            for k, t in zip(batch.column(key).to_pylist(), pc.cast(batch.column("ts"), pa.int64()).to_pylist()):
+                if k != now or t >= until:
+                    now, until = k, t + ttl * 1_000_000
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return sorted_rows.mapInArrow(run, rows.schema)
 
 
 def negative_cache_stream(failures: DataFrame, ttl: str = "15 seconds", key: str = "user_id") -> DataFrame:
     return timed(failures).withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
 
 
+def single_flight(calls: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
+    """calls with `leader`: the least event of those with equal keys and time, whose result the others share."""
+    lead = calls.groupBy(*keys, ts).agg(F.min("event_id").alias("leader"))
+    return calls.join(lead, [*keys, ts])
+
+
+def cooled_down(events: DataFrame, trigger, seconds: int, key: str = "user_id") -> DataFrame:
+    """Events that no trigger of their key within so many seconds before them holds up."""
+    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = timed(events).withColumn("_last", F.max(F.when(trigger, F.unix_micros("ts"))).over(w))
+    return rows.where(F.col("_last").isNull() | (F.unix_micros("ts") - F.col("_last") >= seconds * 1_000_000)).drop("_last")
+
+
+def retry_delays(attempts: DataFrame, base_ms: int = 500, most_ms: int = 8000) -> DataFrame:
+    """attempts (attempt from 1, jitter of 0 to 1, retry_after_s): doubling delays, times .5 to 1.5, at least what the server asks, at most most_ms."""
+    backoff = base_ms * F.pow(F.lit(2.0), F.col("attempt") - 1) * (0.5 + F.col("jitter"))
+    return attempts.withColumn("delay_ms", F.least(F.lit(float(most_ms)), F.greatest(backoff, F.coalesce(F.col("retry_after_s") * 1000.0, F.lit(0.0)))))
+
+
+def live_sessions(listing: DataFrame, now: str, ttl_s: int, most: int) -> DataFrame:
+    """Of sessions (user_id, last_used, ...) those used within the time to live, the latest `most` of them."""
+    rows = listing.where(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("last_used").cast("timestamp")) <= ttl_s)
+    return rows.orderBy(F.desc("last_used"), "user_id").limit(most)
+
+
 def host_intervals(fetches: DataFrame, least_ms: int = 500, key: str = "event_type") -> DataFrame:
     """Fetches that came sooner after the one before on their host than politeness allows."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")

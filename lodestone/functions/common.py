@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,14 @@ def let(value: Column, body) -> Column:
     lambda means once for each element.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once for several readers: a checkpoint where the session names a folder for them, else kept by the executors."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not base:
+            return df.persist()
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import let, ship
+from ..functions.common import let, settled, ship
 from ..functions.text import STOP_WORDS, extract_numbers, tokenize
 
 # Forms of citations, of lines that stand alone, of sentence ends, and abbreviations that end none.
@@ -156,6 +156,9 @@ def attach_highlights(passages: DataFrame, terms: DataFrame) -> DataFrame:
     own = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("_w"))
     rows = passages.join(own, "query_id", "left").withColumn("_s", segment_column(F.col("text")))
     rows = rows.withColumn("_w", F.coalesce("_w", F.array().cast("array<struct<term:string,weight:double>>")))
+    # of each segment only the terms asked for go on
+    wanted = F.transform("_w", lambda w: w["term"])
+    rows = rows.withColumn("_s", F.transform("_s", lambda s: s.withField("terms", F.array_intersect(s["terms"], wanted))))
     rows = rows.withColumn("_best", ranked_windows(F.col("_s"), F.col("_w")))
     best = F.when((F.size("_best") > 0) & (F.col("_best")[0]["coverage"] > 0), F.col("_best")[0]).otherwise(lead_window(F.col("_s")))
     rows = rows.withColumn("_h", best)
@@ -212,7 +215,7 @@ def verify_answers(answers: DataFrame, sources: DataFrame, jaccard: float = 0.6,
     against it.  Null texts have no segments.
     """
     cut = answers.select("answer_id", F.posexplode(segment_column(F.col("text"))).alias("position", "s")).where(F.size("s.words") >= 3)
-    sentences = cut.select("answer_id", "position", F.trim("s.text").alias("sentence"), F.col("s.words").alias("words")).withColumn("citations", citations_of(F.col("sentence")))
+    sentences = settled(cut.select("answer_id", "position", F.trim("s.text").alias("sentence"), F.col("s.words").alias("words")).withColumn("citations", citations_of(F.col("sentence"))))
     page = F.col("page_text") if "page_text" in sources.columns else F.lit(None).cast("string")
     texts = sources.select("answer_id", "index", F.posexplode(F.array("text", page)).alias("part", "source")).where("source is not null")
     texts = texts.withColumn("segs", segment_column(F.col("source"))).withColumn("whole", F.array_join(F.flatten(F.transform("segs", lambda s: s["words"])), " "))

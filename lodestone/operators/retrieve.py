@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import settled
 from ..functions.text import recency_boost
 from . import fusion, greedy, selection
 
@@ -97,14 +98,14 @@ def retrieve(lists: DataFrame, chunks: DataFrame, opts: RetrieveOptions = Retrie
     neighbours, cut.  Each query is ranked in its own windows; only pools of at
     most max(2 * top_k, 50) rows go to Python, for near copies and merging.
     """
-    kept = candidates(lists, chunks.select("doc_id", "source"), opts)
+    kept = settled(candidates(lists, chunks.select("doc_id", "source"), opts))
     fused = fusion.fuse(kept, opts.fusion).join(best_scores(kept), ["query_id", "doc_id"])
     pool = cut(fused.join(chunks, "doc_id"), opts)
     pool = boosted(pool, opts, primary)
     pool = selection.diversify_by_source(pool, opts.per_source, max(2 * opts.top_k, 50), "fused").drop("rank")
     pool = greedy.drop_near_copies(pool.withColumn("score", F.col("fused")), opts.near_copies).drop("score")
     ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fused"), "doc_id")))
-    ranked = selection.demote_domains(ranked, opts.per_domain).where(F.col("new_rank") <= opts.top_k)
+    ranked = settled(selection.demote_domains(ranked, opts.per_domain).where(F.col("new_rank") <= opts.top_k))
     if opts.merge:
         merged = greedy.merge_adjacent(ranked.select("query_id", "url", "chunk_index", "text", F.col("fused").alias("score")))
         first = merged.select("query_id", "url", F.col("first").alias("chunk_index"), F.col("text").alias("_text"), F.col("score").alias("_fused"), "parts")

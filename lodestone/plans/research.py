@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import asks as Q
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.common import settled
 from ..operators import bm25, evidence, render, retrieve
 from ..sources import acquisition as A
 from ..streaming import windows as S
@@ -235,7 +236,7 @@ def retrieve_stage(spark, d):
 
 @query()
 def render_research(spark, d):
-    got = stage(spark, d).withColumn("from_snippet", F.lit(False))
+    got = settled(stage(spark, d)).withColumn("from_snippet", F.lit(False))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
     sources = got.groupBy("query_id", "url").agg(F.min("title").alias("title"), F.sum("parts").cast("int").alias("chunks")).withColumn("ok", F.lit(True))
     return render.render_research(items, got, sources, max_tokens=3000)

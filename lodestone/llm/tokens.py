@@ -29,7 +29,7 @@ JOINED = 1 << 14
 #: Parts whose ids are put together at once.
 TAKEN = 1 << 19
 #: Bytes of parts and ids that a worker remembers, and the longest part that it does.
-MEMORY_BYTES, REMEMBERED = 24 << 20, 32
+MEMORY_BYTES, REMEMBERED = 12 << 20, 32
 PUNCTUATION = np.array([chr(b).isascii() and chr(b).isprintable() and not chr(b).isalnum() and b != 32 for b in range(256)])
 LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 

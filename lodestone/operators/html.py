@@ -238,6 +238,32 @@ def candidate_score(text_len: Column, link_density: Column, junk: Column, headin
     return F.log(1.0 + text_len) * kept * kept - 0.3 * F.least(junk, F.lit(10)) + 0.05 * F.least(headings, F.lit(20)) + F.when(code, 0.3).otherwise(0.0) + F.when(table, 0.3).otherwise(0.0)
 
 
+def choose_candidate(pages: DataFrame, least_chars: int = 250) -> DataFrame:
+    """pages with reader, full and boundary, structs (text_len, link_density, code_blocks, table_rows) or null: adds choice and guard.
+
+    The reader's text stands unless a guard speaks against it, the first that does: there is none; it is thin; the page's
+    one article element holds most of it with fewer links or tables; the full text has far more text, code or tables.
+    Both are null where no candidate exists; guard is null where none spoke.
+    """
+    r, f, a = (lambda name, c=c: F.coalesce(F.col(f"{c}.{name}"), F.lit(0)) for c in ("reader", "full", "boundary"))
+    larger = F.col("full").isNotNull() & (f("text_len") > r("text_len")) & (f("link_density") < 0.6)
+    within = F.col("boundary").isNotNull() & (a("text_len") >= least_chars) & a("text_len").between(0.6 * r("text_len"), r("text_len"))
+    crowded = (r("link_density") > a("link_density") + 0.15) | (r("table_rows") - a("table_rows") >= 4)
+    lost = lambda name, least: (f(name) >= least) & (r(name) < 0.5 * f(name))
+    guards = [
+        ("no-article", "full", F.col("reader").isNull()),
+        ("thin-article", "full", larger & (r("text_len") < least_chars)),
+        ("link-density", "boundary", F.col("full").isNotNull() & within & crowded),
+        ("text-recall", "full", larger & (r("text_len") < 0.35 * f("text_len"))),
+        ("code-recall", "full", larger & lost("code_blocks", 2)),
+        ("table-recall", "full", larger & lost("table_rows", 4)),
+    ]
+    verdict = F.coalesce(*(F.when(speaks, F.struct(F.lit(pick).alias("choice"), F.lit(name).alias("guard"))) for name, pick, speaks in guards),
+                         F.struct(F.lit("reader").alias("choice"), F.lit(None).cast("string").alias("guard")))
+    some = F.col("reader").isNotNull() | F.col("full").isNotNull()
+    return pages.withColumn("choice", F.when(some, verdict["choice"])).withColumn("guard", F.when(some, verdict["guard"]))
+
+
 def js_shell(html: Column, text_len: Column) -> Column:
     """Pages that only a browser fills: framework roots or near-empty text."""
     marks = html.rlike('id="(root|app|__next|__nuxt)"') | html.rlike("(?i)enable javascript")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import settled
 from ..functions.text import recency_boost
+from ..functions.urls import canonical_url
 from . import fusion, greedy, selection
 
 
@@ -113,3 +114,13 @@ def retrieve(lists: DataFrame, chunks: DataFrame, opts: RetrieveOptions = Retrie
     else:
         ranked = ranked.withColumn("parts", F.lit(1))
     return final_cut(ranked.drop("rank", "new_rank"), opts)
+
+
+def passages_by_source(sources: DataFrame, passages: DataFrame) -> DataFrame:
+    """sources (url) with the indices, ascending, and the best score of the passages (url, index, score) cut from them, by canonical URL.
+
+    Sources without a passage keep an empty array and a null score; passages of no source are left out.
+    """
+    found = passages.groupBy(canonical_url(F.col("url")).alias("_canonical")).agg(F.sort_array(F.collect_list("index")).alias("passage_indices"), F.max("score").alias("best_score"))
+    joined = sources.withColumn("_canonical", canonical_url(F.col("url"))).join(found, "_canonical", "left").drop("_canonical")
+    return joined.withColumn("passage_indices", F.coalesce("passage_indices", F.array().cast("array<int>")))

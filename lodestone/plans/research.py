@@ -9,7 +9,7 @@ from ..functions import asks as Q
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.common import settled
-from ..operators import bm25, evidence, render, retrieve
+from ..operators import bm25, evidence, html, render, retrieve, selection
 from ..sources import acquisition as A
 from ..streaming import windows as S
 from .queries import CANON, HITS_SQL, HOST, LISTS_SQL, TOKENS, hits, lexical, query, query_terms, table, two_lists, values
@@ -144,6 +144,31 @@ def chunk_filter(spark, d):
     return table(spark, d, "documents").where((F.col("lang") == "en") & F.col("source").isin("src0", "src1", "src2")).select("doc_id", "source")
 
 
+READ, READ_SQL = values("readings", "id long, r_len int, r_links double, r_code int, r_rows int, f_len int, f_links double, f_code int, f_rows int, a_len int, a_links double, a_rows int", [
+    (1, None, None, None, None, 900, 0.1, 0, 0, None, None, None), (2, 900, 0.1, 0, 0, None, None, None, None, None, None, None), (3, None, None, None, None, None, None, None, None, 500, 0.1, 0), (4, 100, 0.1, 0, 0, 900, 0.1, 0, 0, None, None, None), (5, 100, 0.1, 0, 0, 900, 0.7, 0, 0, None, None, None),
+    (6, 1000, 0.5, 0, 0, 1200, 0.1, 0, 0, 700, 0.1, 0), (7, 1000, 0.2, 0, 9, 900, 0.1, 0, 0, 600, 0.1, 5), (8, 1000, 0.5, 0, 0, 1200, 0.1, 0, 0, 500, 0.1, 0), (9, 300, 0.1, 0, 0, 900, 0.1, 0, 0, 200, 0.0, 0), (10, 600, 0.1, 0, 9, 900, 0.1, 2, 9, None, None, None), (11, 600, 0.1, 2, 1, 900, 0.1, 4, 4, None, None, None), (12, 600, 0.1, 2, 2, 900, 0.1, 4, 4, 1000, 0.0, 0)])
+
+
+@query(f"""WITH {READ_SQL}, g AS (SELECT *, coalesce(f_len > coalesce(r_len, 0) AND f_links < 0.6, false) AS larger FROM readings),
+ c AS (SELECT id, CASE WHEN r_len IS NULL AND f_len IS NULL THEN 'none' WHEN r_len IS NULL THEN 'no-article' WHEN larger AND r_len < 250 THEN 'thin-article'
+ WHEN f_len IS NOT NULL AND a_len >= 250 AND a_len >= 0.6 * r_len AND a_len <= r_len AND (r_links > a_links + 0.15 OR r_rows - a_rows >= 4) THEN 'link-density' WHEN NOT larger THEN NULL WHEN r_len < 0.35 * f_len THEN 'text-recall'
+ WHEN f_code >= 2 AND r_code < 0.5 * f_code THEN 'code-recall' WHEN f_rows >= 4 AND r_rows < 0.5 * f_rows THEN 'table-recall' END AS g FROM g)
+ SELECT CAST(id AS BIGINT) AS id, CASE WHEN g = 'none' THEN NULL WHEN g IS NULL THEN 'reader' WHEN g = 'link-density' THEN 'boundary' ELSE 'full' END AS choice, nullif(g, 'none') AS guard FROM c""")
+def reading_choice(spark, d):
+    def made(c, code=True):
+        parts = [F.col(f"{c}_len").alias("text_len"), F.col(f"{c}_links").alias("link_density"), F.col(f"{c}_rows").alias("table_rows")] + ([F.col(f"{c}_code").alias("code_blocks")] if code else [])
+        return F.when(F.col(f"{c}_len").isNotNull(), F.struct(*parts))
+
+    rows = READ(spark).select("id", made("r").alias("reader"), made("f").alias("full"), made("a", False).alias("boundary"))
+    return html.choose_candidate(rows).select("id", "choice", "guard")
+
+
+@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, event_id % 7 DESC, event_id) AS INTEGER) AS position FROM events")
+def answer_order(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", (F.col("event_type") == "purchase").alias("accepted"), (F.col("event_id") % 7).alias("score"))
+    return selection.order_answers(rows, "user_id", "event_id").select("event_id", "position")
+
+
 # ---- retrieval stage ------------------------------------------------------
 
 KINDS_SQL = f"WITH {LISTS_SQL}, k AS (SELECT *, CASE WHEN list_no = 0 THEN 'bm25' ELSE 'vector' END AS kind, CASE WHEN list_no = 0 THEN 'main' ELSE 'other' END AS list_query FROM lists)"
@@ -264,6 +289,14 @@ def citations(spark, d):
     return table(spark, d, "pages").select("page_id", render.citation(F.col("page_id"), title, F.col("url"), date, page).alias("citation"))
 
 
+@query(f"WITH {CANON}, p AS (SELECT canonical, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS passages, max(page_id % 97) AS best FROM canon GROUP BY canonical) SELECT page_id, passages, best FROM canon JOIN p USING (canonical)")
+def passages_by_source(spark, d):
+    pages = table(spark, d, "pages")
+    passages = pages.select("url", F.col("page_id").cast("int").alias("index"), (F.col("page_id") % 97).alias("score"))
+    got = retrieve.passages_by_source(pages.select("page_id", "url"), passages)
+    return got.select("page_id", F.array_join("passage_indices", ",").alias("passages"), F.col("best_score").alias("best"))
+
+
 @query("SELECT page_id % 10 AS query_id, CAST(row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id, url) AS INTEGER) AS index, url, round(greatest(0.05e0, 1e0 - (row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id, url) - 1) / count(*) OVER (PARTITION BY page_id % 10)::DOUBLE), 6) AS score FROM pages WHERE page_id % 10 >= 4")
 def snippet_passages(spark, d):
     pages = table(spark, d, "pages").select((F.col("page_id") % 10).alias("query_id"), "url", F.lit("t").alias("title"), F.lit("a snippet").alias("snippet"), F.col("page_id").alias("rank"))

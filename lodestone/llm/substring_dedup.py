@@ -67,16 +67,24 @@ def slid(v: np.ndarray, width: int, pick) -> np.ndarray:
     return v
 
 
-def least_hashes(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the words of several texts: (starts of windows that are one text's, the least hash of each, as 48 bits).
+def least_hashes(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of several texts: (starts of windows that are one text's, the least hash of each, as 48 bits, whether a place begins there).
 
     Least hashes are small, so they are mixed once more to spread over shards.
+    Windows whose least hash is that of the same run, the first if several have
+    it, are one place.  Equal windows are never one place, even side by side (in
+    a text that repeats itself at once, or at the end of one and the start of
+    the next).
     """
     if len(h) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = slid(rolled(h, RUN, P1), WINDOW - RUN + 1, np.minimum)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    runs = rolled(h, RUN, P1)
+    least = slid(runs, WINDOW - RUN + 1, np.minimum)
     starts = np.flatnonzero(np.arange(len(least)) + WINDOW <= np.repeat(np.cumsum(counts), counts)[: len(least)])
-    return starts, mix(least[starts]) >> U(16)
+    least = least[starts]
+    # a window that starts with its least run leaves it behind
+    begins = np.append(True, (starts[1:] != starts[:-1] + 1) | (least[1:] != least[:-1]) | (runs[starts[:-1]] == least[:-1]))[: len(starts)]
+    return starts, mix(least) >> U(16), begins
 
 
 def shards(h: np.ndarray, bits: int) -> np.ndarray:
@@ -162,10 +170,8 @@ def run_of(blocks: DataFrame, bits: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block, counts, data in zip(batch.column("block").to_pylist(), batch.column("n_words").to_pylist(), batch.column("words").to_pylist()):
-                _, least = least_hashes(hash_bytes(inflated(data))[0], np.array(counts, np.int64))
-                # neighbours that share their least hash are one place; equal ones apart are two
-                change = np.flatnonzero(np.append(True, least[1:] != least[:-1])) if len(least) else np.zeros(0, np.int64)
-                h, n = np.unique(least[change], return_counts=True)
+                _, least, begins = least_hashes(hash_bytes(inflated(data))[0], np.array(counts, np.int64))
+                h, n = np.unique(least[begins], return_counts=True)  # a hash at two places may stand for equal windows
                 yield run_row([(s, [block >> BLOCK_BITS], pack_sorted(h[at]), packed(np.zeros(len(h[at]), np.uint32)), packed((n[at] > 1).astype(np.uint8)), len(h[at])) for s, at in by_shard(h, bits)])
 
     return blocks.select("block", "n_words", "words").mapInArrow(run, RUN_ROW)
@@ -267,7 +273,7 @@ def windows_of(blocks: DataFrame, found, bits: int, new: bool) -> DataFrame:
             for block, ids, counts, data in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_ids", "n_words", "words"))):
                 text, counts = inflated(data), np.array(counts, np.int64)
                 h = hash_bytes(text)[0]
-                starts, least = least_hashes(h, counts)
+                starts, least, _ = least_hashes(h, counts)
                 values, at = np.unique(least, return_inverse=True)
                 starts = starts[passes(found.value, values)[at]]
                 if not len(starts):

@@ -142,6 +142,26 @@ def test_repeats(rows, docs):
     assert sum(x[1] for x in want.values()) > 200
 
 
+def test_repeats_side_by_side(spark):
+    """Equal windows whose least hashes follow each other: a text of one period, copies in a row, the end of one text as the start of the next."""
+    p = [f"p{i}" for i in range(24)]
+    texts = [["a"] * 50, ["b", "c", "d"] * 20, p[:13] * 5, p[:20], p[:20], [x.upper() for x in p], [x.upper() for x in p], [f"q{i}" for i in range(30)], [f"q{i}" for i in range(10, 30)] + p[:5], ["e"] * 20, ["e"] * 21, ["f"] * 20]
+    seen, want = set(), {}
+    for i, w in enumerate(texts):
+        cut = [False] * len(w)
+        for s in range(len(w) - 19):
+            key = tuple(w[s : s + 20])
+            if key in seen:
+                cut[s : s + 20] = [True] * 20
+            seen.add(key)
+        want[i] = (sum(cut), hashlib.sha256(" ".join(x for x, c in zip(w, cut) if not c).encode()).hexdigest())
+    assert [want[i][0] for i in (0, 1, 2, 4, 6, 8, 9, 10, 11)] == [49, 57, 52, 20, 24, 20, 0, 21, 0]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for batches in (1, 2):
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(table, batches).collect()} == want
+    assert sorted(r.n_removed for i in (0, 1, 2) for r in substring_dedup.remove_repeats(table.where(F.col("doc_id") == i), 1).collect()) == [49, 52, 57]
+
+
 def test_window_index_takes_batches_apart(spark, rows, docs, tmp_path):
     """Batches added by separate objects, compacted on the way, equal brute force; batches without a match are not read."""
     import shutil

@@ -89,3 +89,16 @@ def test_stage_moves_only_documents_found(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(research.retrieve, "retrieve", lambda lists, chunks, opts: chunks)
     chunks = research.stage(spark, texts(spark, tmp_path))
     assert chunks.count() == 30 and re.search(r"BroadcastHashJoin \[doc_id#\d+L\], \[doc_id#\d+L\], LeftSemi", plan(chunks))
+
+
+def test_python_holds_runs_of_a_batch():
+    """Runs keep within their size, in order, none is lost; arrays come out as for the whole."""
+    import pyarrow as pa
+
+    from lodestone.functions import common, text
+
+    assert list(common.runs([3, 3, 3, 20, 1], 6)) == [(0, 2), (2, 3), (3, 4), (4, 5)] and list(common.runs([], 6)) == []
+    most = []
+    done = common.in_runs(pa.array(["a" * 400_000, None, "b" * 700_000, "c"] * 3), lambda x: most.append(sum(len(t or "") for t in x)) or pa.array([len(t or "") for t in x], pa.int64()))
+    assert done.to_pylist() == [400_000, 0, 700_000, 1] * 3 and max(most) <= common.HELD and len(most) > 1
+    assert text.tokenize("Café e-mail İstanbul") == ["e-mail", "cafe", "mail", "istanbul"]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import ship
+from ..functions.common import HELD, runs, ship
 
 SKIP = frozenset("script style noscript template svg iframe nav footer aside form button".split())
 BLOCKS = frozenset("p div section article main header ul ol li table tr blockquote pre h1 h2 h3 h4 h5 h6 br hr figure figcaption dl dt dd".split())
@@ -204,9 +204,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [{"page_id": p, "url": u, **read_page(u, h)} for p, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"])]
-            if rows:
-                yield pd.DataFrame(rows)
+            for a, b in runs([len(h or "") for h in pdf["html"]], HELD):
+                part = pdf.iloc[a:b]
+                yield pd.DataFrame([{"page_id": p, "url": u, **read_page(u, h)} for p, u, h in zip(part["page_id"], part["url"], part["html"])])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, PAGE)
 

@@ -102,3 +102,12 @@ def test_python_holds_runs_of_a_batch():
     done = common.in_runs(pa.array(["a" * 400_000, None, "b" * 700_000, "c"] * 3), lambda x: most.append(sum(len(t or "") for t in x)) or pa.array([len(t or "") for t in x], pa.int64()))
     assert done.to_pylist() == [400_000, 0, 700_000, 1] * 3 and max(most) <= common.HELD and len(most) > 1
     assert text.tokenize("Café e-mail İstanbul") == ["e-mail", "cafe", "mail", "istanbul"]
+
+
+def test_pages_and_chunks_in_runs(spark, monkeypatch):
+    from lodestone.operators import chunking, html
+
+    pages = spark.createDataFrame([(i, "u", f"<p>{'word ' * 60000}</p>" if i % 3 else None) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    assert [len(r.markdown) for r in html.extract_pages(pages).orderBy("page_id").collect()] == [299_999 if i % 3 else 0 for i in range(12)]
+    docs = spark.createDataFrame([(i, "word " * 60000) for i in range(8)], "doc_id long, text string").coalesce(1)
+    assert chunking.chunk_documents(docs).groupBy("doc_id").count().where("count > 100").count() == 8

@@ -111,3 +111,19 @@ def test_pages_and_chunks_in_runs(spark, monkeypatch):
     assert [len(r.markdown) for r in html.extract_pages(pages).orderBy("page_id").collect()] == [299_999 if i % 3 else 0 for i in range(12)]
     docs = spark.createDataFrame([(i, "word " * 60000) for i in range(8)], "doc_id long, text string").coalesce(1)
     assert chunking.chunk_documents(docs).groupBy("doc_id").count().where("count > 100").count() == 8
+
+
+def test_merge_in_one_pass(spark):
+    """Overlaps as by trying every length; gaps, repeated queries, null urls and scores; more text than is held at once."""
+    from lodestone.operators import greedy
+
+    random.seed(4)
+    for _ in range(2000):
+        a, b = ("".join(random.choices("ab", k=random.randrange(0, 60))) for _ in range(2))
+        b = a[-random.randrange(0, 45) :] + b if random.random() < 0.5 else b
+        assert greedy.shared_end(a, b) == next((n for n in range(min(len(a), len(b), 2000), 19, -1) if a.endswith(b[:n])), 0)
+    rows = [(q, f"u{u}", k, f"q{q} u{u} k{k} " + "x" * 9000, None if k == 1 else k / 10) for q in range(40) for u in range(3) for k in (0, 1, 2, 4)] + [(7, None, 3, None, 0.5)]
+    got = {(r.query_id, r.url, r["first"]): r for r in greedy.merge_adjacent(spark.createDataFrame(rows, "query_id long, url string, chunk_index int, text string, score double")).collect()}
+    assert len(got) == 241 and got[5, "u2", 0].parts == 3 and got[5, "u2", 0].score == 0.2 and got[5, "u2", 4].parts == 1 and got[7, None, 3].text == ""
+    assert len(got[5, "u2", 0].text) > 27000 and got[5, "u2", 0].text.endswith("k2 " + "x" * 9000)
+    assert "FlatMapGroupsInPandas" not in plan(greedy.merge_adjacent(spark.createDataFrame(rows, "query_id long, url string, chunk_index int, text string, score double")))

@@ -157,3 +157,42 @@ def test_verification_copies_no_source(spark):
     rows = evidence.verify_answers(answers, sources)
     assert [r.status for r in rows.orderBy("position").collect()] == ["paraphrase", "verbatim"]
     assert not re.search(r"hashpartitioning\(answer_id#\d+L, position", plan(rows))
+
+
+def test_minhash_by_arrays(spark):
+    """Keys are those of Spark's own hash functions, in runs of any size."""
+    import numpy as np
+
+    from lodestone.operators import duplicates
+
+    values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345]
+    frame = spark.createDataFrame([(v,) for v in values], "v long")
+    x = np.array(values, np.int64).view(np.uint64)
+    assert [r[0] for r in frame.select(F.xxhash64("v", F.lit(63))).collect()] == duplicates.hash_int(63, duplicates.hash_long(x, np.uint64(42))).view(np.int64).tolist()
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "A b c d e f g h!"), (3, "other words altogether"), (4, None), (5, ""), (6, "a " * 9000 + "b c")], "doc_id long, text string")
+    got = duplicates.minhash_candidates(docs)
+    assert sorted((r.band, r.first_id, r.doc_id) for r in got.collect()) == [(b, 1, 2) for b in range(16)]
+    assert "array_min" not in plan(got)
+
+
+def test_near_copies_by_places(spark, monkeypatch):
+    """All pairs alike, copies once, whatever order the table of places gives; sets are not grouped by their hashes."""
+    from lodestone.functions import text
+    from lodestone.operators import duplicates
+
+    random.seed(8)
+    base = [random.choices([f"x{i}" for i in range(50)], k=random.randrange(3, 60)) for _ in range(12)]
+    docs = [" ".join(w) for w in base] + [" ".join([*w[: len(w) // 2], "new", *w[len(w) // 2 + random.randrange(2) :]]) for w in base for _ in range(3)]
+    docs += docs[:20] + ["", "same same same"]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    sets = {r.doc_id: frozenset(r.s) for r in frame.select("doc_id", text.shingles(text.simple_tokens(F.col("text")), 3).alias("s")).collect() if r.s}
+    firsts = {}
+    for i in sorted(sets):
+        firsts.setdefault(sets[i], i)
+    ids = sorted(firsts.values())
+    want = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    for places in (1 << 20, 4):
+        monkeypatch.setattr(duplicates, "PLACES", places)
+        rows = duplicates.shingle_pairs(frame, 3, 0.7)
+        assert {(r.a, r.b) for r in rows.collect()} == want and want
+    assert not re.search(r"hashpartitioning\(h#", plan(rows)) and duplicates.shingle_pairs(frame.where("false")).count() == 0
